@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import html_text, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,16 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_lpt_sharding, op6_sum_of_squares_packing)}
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op5_lpt_sharding, op6_sum_of_squares_packing, op8_toxic_segments, op10_html_main_text)}
 
 #: None of these can be stated in SQL with the same rows; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
