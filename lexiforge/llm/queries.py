@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, packing, sharding, toxicity
+from . import html_text, langid, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -28,7 +32,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_lpt_sharding, op6_sum_of_squares_packing, op8_toxic_segments, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_langid, op5_lpt_sharding, op6_sum_of_squares_packing, op8_toxic_segments, op10_html_main_text)}
 
 #: None of these can be stated in SQL with the same rows; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
