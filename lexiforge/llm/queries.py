@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, packing, sharding, toxicity
+from . import embeddings, html_text, langid, packing, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -23,6 +27,10 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "n_passages")
@@ -32,7 +40,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_langid, op5_lpt_sharding, op6_sum_of_squares_packing, op8_toxic_segments, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_langid, op4_hyperplane_near_duplicates, op5_lpt_sharding, op6_sum_of_squares_packing, op7_warc_salvage, op8_toxic_segments, op10_html_main_text)}
 
 #: None of these can be stated in SQL with the same rows; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
