@@ -32,6 +32,10 @@ MODEL_WORDS = 200_000
 PRIOR = 0.1
 #: Standard deviations from which a word's log-odds count.
 SIGNIFICANT = 3.0
+#: Log-odds from which a word counts: about seven times as likely in toxic documents.
+LEAST_WEIGHT = 2.0
+#: Words that a text counts as at least, so that one word of a very short text is no proof.
+LEAST_WORDS = 200
 #: What each word subtracts, so that chance segments stay short.
 DRIFT = 0.05
 #: Chance at or below which a segment is a toxic passage.
@@ -60,7 +64,7 @@ class ToxicityModel:
 
     def chance(self, score: float, n: int) -> float:
         """Expected number of clean segments that score as much in a text of n words."""
-        return self.k * max(n, 1) * math.exp(-self.lam * score)
+        return self.k * max(n, LEAST_WORDS) * math.exp(-self.lam * score)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Sum of -ln(chance) over segments whose chance is below 1."""
@@ -195,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     bad, good = heavy["toxic"].to_numpy(float), heavy["clean"].to_numpy(float)
     delta, z = log_odds(bad, good, n_toxic, n_clean)
     kept = np.abs(z) >= SIGNIFICANT
-    kept &= delta > 0
+    kept &= delta >= LEAST_WEIGHT
     keys, weight = heavy["word"].to_numpy(np.int64).view(np.uint64)[kept], delta[kept]
     order = np.argsort(keys)
     model.keys, model.weights = keys[order], weight[order]
@@ -210,10 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
 
     seen = train.select("text", "toxic").mapInArrow(top, "toxic int, n long, scores array<double>").toPandas()  # as many rows as the sample
     clean = seen[seen["toxic"] == 0]
-    # K by the method of moments: clean texts have as many segments above 0 as the formula expects.
-    expected = sum(n for n in clean["n"])
-    found = sum(math.exp(model.lam * min(s)) for s in clean["scores"] if len(s))
-    model.k = float(min(1.0, max(1e-6, (found + 1) / max(1.0, expected))))
+    # K from the number of clean segments: each scores the least weight or more.
+    least = float(model.weights.min(initial=1.0)) - DRIFT
+    found = sum(map(len, clean["scores"]))
+    model.k = (found + 1) / (max(1, int(clean["n"].clip(lower=LEAST_WORDS).sum())) * math.exp(-min(50.0, model.lam * least)))
     x = np.array([math.log1p(model.evidence([(0, 0, v) for v in s], n)) for s, n in zip(seen["scores"], seen["n"], strict=True)])
     model.slope, model.offset = fit_logistic(x, seen["toxic"].to_numpy(float))
     return model
