@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html_text, langid, packing, sharding, substrings, toxicity, warc
+from . import decontamination, embeddings, html_text, langid, packing, sharding, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,15 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+def op9_block_max_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_langid, op3_deep_shallow_dedup, op4_hyperplane_near_duplicates, op5_lpt_sharding, op6_sum_of_squares_packing, op7_warc_salvage, op8_toxic_segments, op10_html_main_text)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_langid, op3_deep_shallow_dedup, op4_hyperplane_near_duplicates, op5_lpt_sharding, op6_sum_of_squares_packing, op7_warc_salvage, op8_toxic_segments, op9_block_max_decontamination, op10_html_main_text)}
 
 #: None of these can be stated in SQL with the same rows; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
