@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +43,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan can reach any more, before a job that writes many new ones."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a scratch table early."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
