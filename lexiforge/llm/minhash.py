@@ -159,8 +159,11 @@ def candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return close.union(crowded.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))).distinct(), crowded
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` of those pairs whose texts align."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, alike: bool = False) -> DataFrame:
+    """``a, b`` of those pairs whose texts align.
+
+    ``alike``: the ids grow with the corpus, so they meet the texts by a sorted join at every size.
+    """
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=LEVEL)
@@ -181,6 +184,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c["a"].take(took), c["b"].take(took)], ["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if alike:
+        wanted = wanted.hint("merge")
     small = texts.mapInArrow(shrink, "doc_id long, size long, small binary").join(wanted, "doc_id", "left_semi")
     small = cut(small, "minhash-texts")
     side = lambda x: small.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("small").alias(f"small_{x}"))
@@ -204,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = table.join(copied, ["key_1", "key_2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "sketches")
     pairs, crowded = candidates(named.filter("doc_id = rep").select("doc_id", "sketches"))
     pairs, crowded = cut(pairs, "minhash-pairs"), cut(crowded, "minhash-crowded")
-    links = cut(verified(pairs, known, threshold), "minhash-links")
+    links = cut(verified(pairs, known, threshold, alike=True), "minhash-links")
     release_shuffles(spark)
     # members of crowded buckets that did not link with the leader of each
     left = crowded.join(links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id")), ["leader", "doc_id"], "left_anti")
@@ -221,3 +226,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1")
     out = texts.select("doc_id").join(classes, "doc_id", "left").join(sizes, "class_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that have the smallest id of their class; of rows that repeat an id one stays."""
+    classes = near_duplicates(docs, id_col, text_col, threshold).filter("not kept").select(F.col("doc_id").alias(id_col))
+    gone = cut(classes.distinct(), "minhash-gone")
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col)
+    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if repeated.limit(1).count():
+        known = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        out = known.union(out.filter(F.col(id_col).isNull()))
+    return out
