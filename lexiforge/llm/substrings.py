@@ -16,16 +16,19 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .textvec import chunks, mix
+from .common import cut, release_shuffles
+from .textvec import chunks, mix, span_hashes
 
 #: Bytes of a repeated string.
 WINDOW = 50
@@ -38,7 +41,9 @@ SHALLOW = 24
 #: Level of compression on the way to the buckets.
 LEVEL = 5
 #: Text bytes that are cut up at a time, below 2**24 as places share a word with hashes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Text bytes whose stretches are gathered before they are compressed and sent.
+SENT_BYTES = 16 << 20
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 3 << 20
 
@@ -181,6 +186,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = big_endian_words(data)
     h = np.zeros(n, np.uint64)
     h[: n - ANCHOR + 8] = mix(mix(words[: n - ANCHOR + 8]) + words[ANCHOR - 8 :])
+    del words
     low = np.uint64(24)
     m = ((h >> low) << low) | np.arange(n, dtype=np.uint64)
     span, reach = WINDOW - ANCHOR + 1, 1
@@ -188,9 +194,10 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         m = np.minimum(m[:-reach], m[reach:])
         reach *= 2
     m = np.minimum(m[: len(m) - (span - reach)], m[span - reach :])
-    place = (m & np.uint64((1 << 24) - 1)).astype(np.int64)
+    place = (m & np.uint64((1 << 24) - 1)).astype(np.int32)
+    del m
     sizes = np.diff(bounds)
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     valid = np.arange(n) + WINDOW <= np.repeat(bounds[1:], sizes)
     window = np.flatnonzero(valid)
     if not len(window):
@@ -201,13 +208,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(window)) - 1
     anchor = at[start]
-    return window[start], window[last], anchor, h[anchor], text[window[start]]
-
-
-def byte_span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from .textvec import span_hashes
-
-    return span_hashes(data, start, end)
+    return window[start], window[last], anchor.astype(np.int64), h[anchor], text[window[start]].astype(np.int64)
 
 
 STRETCH = np.dtype([("doc", "<u4"), ("start", "<u4"), ("anchor", "u1"), ("length", "u1")])
@@ -239,43 +240,74 @@ def open_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, n
     return doc_ids, versions, rows, plain[at + RANGE.itemsize * n_ranges :], ranges
 
 
-def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The blobs that a batch of documents sends to buckets."""
+@dataclass
+class Dealt:
+    """What one cut sends to buckets: stretches and settled ranges in order of bucket, and where each bucket's begin."""
+
+    doc_ids: np.ndarray
+    versions: np.ndarray
+    rows: np.ndarray
+    payload: bytes
+    before: np.ndarray
+    row_edges: np.ndarray
+    ranges: np.ndarray
+    range_edges: np.ndarray
+
+
+def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int, shift: int = 0) -> Dealt | None:
+    """Cut texts up; ``shift`` is the place of a lone piece in its document."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=bounds[1:])
     start, last, anchor, h, text = stretches(data, bounds)
     if not len(start):
-        return
-    content = byte_span_hashes(data, start, last + WINDOW)
+        return None
+    content = span_hashes(data, start, last + WINDOW)
     order = np.lexsort((doc_ids[text], content))
     edges = runs(content[order])
-    sizes = np.diff(edges)
-    smallest = np.repeat(doc_ids[text[order[edges[:-1]]]], sizes)
+    smallest = np.repeat(doc_ids[text[order[edges[:-1]]]], np.diff(edges))
     settled = np.zeros(len(start), bool)
     settled[order] = doc_ids[text[order]] > smallest
     bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-    ranges = np.zeros(int(settled.sum()), RANGE)
     own = text[settled]
+    ranges = np.zeros(len(own), RANGE)
     ranges["doc_id"], ranges["version"] = doc_ids[own], versions[own]
-    ranges["begin"], ranges["end"] = start[settled] - bounds[own], last[settled] + WINDOW - bounds[own]
+    ranges["begin"], ranges["end"] = start[settled] - bounds[own] + shift, last[settled] + WINDOW - bounds[own] + shift
     to = bucket[settled]
     by = np.argsort(to, kind="stable")
-    ranges, range_edges = ranges[by], np.searchsorted(to[by], np.arange(buckets + 1))
     sent = np.flatnonzero(~settled)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
-    sent_edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
     rows = np.zeros(len(sent), STRETCH)
-    rows["start"], rows["anchor"], rows["length"] = start[sent] - bounds[text[sent]], anchor[sent] - start[sent], last[sent] - start[sent] + WINDOW
+    rows["doc"], rows["start"] = text[sent], start[sent] - bounds[text[sent]] + shift
+    rows["anchor"], rows["length"] = anchor[sent] - start[sent], last[sent] - start[sent] + WINDOW
     length = rows["length"].astype(np.int64)
     before = np.append(0, np.cumsum(length))
     payload = data[np.repeat(start[sent] - before[:-1], length) + np.arange(before[-1])].tobytes()
-    for k in np.flatnonzero((np.diff(sent_edges) > 0) | (np.diff(range_edges) > 0)).tolist():
-        a, b = sent_edges[k], sent_edges[k + 1]
-        docs, number = np.unique(text[sent[a:b]], return_inverse=True)
-        part = rows[a:b].copy()
-        part["doc"] = number
-        yield k, pack_blob(doc_ids[docs], versions[docs], part, payload[before[a] : before[b]], ranges[range_edges[k] : range_edges[k + 1]])
+    numbers = np.arange(buckets + 1)
+    return Dealt(doc_ids, versions, rows, payload, before, np.searchsorted(bucket[sent], numbers), ranges[by], np.searchsorted(to[by], numbers))
+
+
+def send(dealt: list[Dealt], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """One blob for each bucket that gets something."""
+    for k in range(buckets if dealt else 0):
+        ids, versions, rows, payload, ranges, shift = [], [], [], [], [], 0
+        for d in dealt:
+            a, b = int(d.row_edges[k]), int(d.row_edges[k + 1])
+            ranges.append(d.ranges[d.range_edges[k] : d.range_edges[k + 1]])
+            if a == b:
+                continue
+            docs, number = np.unique(d.rows["doc"][a:b], return_inverse=True)
+            part = d.rows[a:b].copy()
+            part["doc"] = number + shift
+            shift += len(docs)
+            ids.append(d.doc_ids[docs])
+            versions.append(d.versions[docs])
+            rows.append(part)
+            payload.append(d.payload[d.before[a] : d.before[b]])
+        gone = np.concatenate(ranges)
+        if rows or len(gone):
+            none = np.zeros(0, np.int64)
+            yield k, pack_blob(np.concatenate(ids) if ids else none, np.concatenate(versions) if ids else none, np.concatenate(rows) if rows else np.zeros(0, STRETCH), b"".join(payload), gone)
 
 
 def shared_contexts(words: np.ndarray, at: np.ndarray, steps: tuple, rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -354,20 +386,35 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
     buckets = max(64, math.ceil(total_bytes / BUCKET_BYTES))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Dealt] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            rows = list(send(held, buckets))
+            held.clear()
+            size = 0
+            for a in range(0, len(rows), 64):
+                some = rows[a : a + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["bucket", "blob"])
+
         for batch in batches:
             doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
-            for part in chunks([len(t) for t in texts], BATCH_BYTES):
-                own_ids, own_versions, own = doc_ids[part], versions[part], texts[part]
-                if len(own) == 1 and len(own[0]) > BATCH_BYTES:  # a longer text goes in pieces that share WINDOW - 1 bytes
-                    step = BATCH_BYTES - WINDOW
-                    pieces = [(b, own[0][b : b + BATCH_BYTES - 1]) for b in range(0, len(own[0]) - WINDOW + 1, step)]
-                    rows = [(k, shift_blob(blob, b)) for b, piece in pieces for k, blob in deal(own_ids, own_versions, [piece], buckets)]
-                else:
-                    rows = list(deal(own_ids, own_versions, own, buckets))
-                for a in range(0, len(rows), 512):
-                    some = rows[a : a + 512]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["bucket", "blob"])
+            sizes = pa.compute.binary_length(batch.column(2)).to_pylist()
+            for part in chunks(sizes, BATCH_BYTES):
+                texts = batch.column(2).slice(part.start, part.stop - part.start).to_pylist()
+                # a text beyond a batch goes in pieces that share WINDOW - 1 bytes
+                step = BATCH_BYTES - WINDOW + 1
+                long = len(texts) == 1 and len(texts[0]) > BATCH_BYTES
+                for at in range(0, len(texts[0]) - WINDOW + 1, step) if long else (0,):
+                    got = deal(doc_ids[part], versions[part], [texts[0][at : at + BATCH_BYTES]] if long else texts, buckets, at)
+                    if got:
+                        held.append(got)
+                        size += min(BATCH_BYTES, sum(map(len, texts)))
+                    if size >= SENT_BYTES:
+                        yield from flush()
+        if held:
+            yield from flush()
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(judge(list(frame["blob"])))
@@ -377,16 +424,6 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
     return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
 
-def shift_blob(blob: bytes, by: int) -> bytes:
-    """The blob of a piece that begins ``by`` bytes into its document."""
-    doc_ids, versions, rows, payload, ranges = open_blob(blob)
-    rows["start"] += by
-    ranges = ranges.copy()
-    ranges["begin"] += by
-    ranges["end"] += by
-    return pack_blob(doc_ids, versions, rows, payload, ranges)
-
-
 def merge_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs that ranges cover; ranges that touch are one run."""
     order = np.argsort(begin, kind="stable")
@@ -397,6 +434,38 @@ def merge_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin[a], end[np.append(a[1:], len(end)) - 1]
 
 
+def with_ranges(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """``doc_id, size, small, ranges, carry``: every text compressed, its ranges that go, and other columns as a struct."""
+    data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"))
+    total = rows.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
+    # Texts that share an id are told apart by a hash; where ids are unique, as they should be, that costs nothing.
+    rows = rows.withColumn("version", F.xxhash64("data") if repeated else F.lit(0).cast("long"))
+    ranges = cut(repeated_ranges(rows.select("doc_id", "version", "data"), total), "repeated-ranges")
+    release_shuffles(docs.sparkSession)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            small = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int64()), small, batch.column(3)], ["doc_id", "version", "size", "small", "carry"])
+
+    shape = StructType.fromDDL("doc_id long, version long, size long, small binary").add("carry", rows.schema["carry"].dataType)
+    texts = rows.select("doc_id", "version", "data", "carry").mapInArrow(shrink, shape)
+    return texts.join(ranges, ["doc_id", "version"], "left").select("doc_id", "size", "small", "ranges", "carry")
+
+
+def split(text: bytes, ranges: pa.Scalar) -> tuple[bytes, list[tuple[int, int]]]:
+    """What stays of a text, and the maximal runs that go."""
+    if not ranges.is_valid:
+        return text, []
+    begin, end = merge_ranges(ranges.values.field(0).to_numpy(), ranges.values.field(1).to_numpy())
+    edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(text)]
+    return b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), list(zip(begin.tolist(), end.tolist(), strict=True))
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin:long,end:long>>"
 
 
@@ -408,37 +477,51 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     against each other; texts shorter than 50 bytes stay; an empty table gives no rows; other columns are ignored.
     """
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
-    data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
-    total = rows.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
-    # Texts that share an id are told apart by a hash; where ids are unique, as they should be, that costs nothing.
-    rows = rows.withColumn("version", F.xxhash64("data") if repeated else F.lit(0).cast("long"))
-    ranges = repeated_ranges(rows.select("doc_id", "version", "data"), total)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, size, small, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                text = pa.decompress(small, size, codec="zstd", asbytes=True)
-                spans: list[dict] = []
-                kept = text
-                if own.is_valid:
-                    begin, end = merge_ranges(own.values.field(0).to_numpy(), own.values.field(1).to_numpy())
-                    edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(text)]
-                    kept = b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
-                    spans = [{"begin": a, "end": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                out.append((doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if outputs else None, spans if outputs else None))
+            for doc_id, size, small, own in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                kept, spans = split(pa.decompress(small, size, codec="zstd", asbytes=True), own)
+                shown = [{"begin": a, "end": b} for a, b in spans] if outputs else None
+                out.append((doc_id, size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if outputs else None, shown))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=LEVEL)
+    return with_ranges(docs, id_col, text_col, []).mapInArrow(finish, RESULT)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with repeated bytes taken out of the text and the number of characters brought up to date.
+
+    Characters that lose some of their bytes go whole.  A row whose text goes whole is left out; rows that lose nothing
+    keep text and number as they are, also null.
+    """
+    lost = "__text"
+    schema = StructType([f for f in docs.schema])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            small = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, texts)), pa.int64()), small], ["doc_id", "version", "size", "small"])
+            kept, stays, changed = [], [], []
+            for size, small, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                text, spans = split(pa.decompress(small, size, codec="zstd", asbytes=True), own)
+                kept.append(text.decode("utf-8", "ignore"))
+                changed.append(bool(spans))
+                stays.append(not spans or bool(kept[-1]))
+            carried = pa.StructArray.from_arrays(batch.column(4).flatten(), fields=list(batch.column(4).type))
+            columns = []
+            for f in schema.fields:
+                if f.name == text_col:
+                    null = carried.field(lost).to_pylist()
+                    columns.append(pa.array([None if n and not c else t for t, n, c in zip(kept, null, changed, strict=True)], pa.string()))
+                elif f.name == chars_col:
+                    old = carried.field(chars_col)
+                    columns.append(pa.array([len(t) if c else o for t, c, o in zip(kept, changed, old.to_pylist(), strict=True)], old.type))
+                else:
+                    columns.append(carried.field(f.name))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
 
-    texts = rows.select("doc_id", "version", "data").mapInArrow(shrink, "doc_id long, version long, size long, small binary")
-    joined = texts.join(ranges, ["doc_id", "version"], "left").select("doc_id", "size", "small", "ranges")
-    return joined.mapInArrow(finish, RESULT)
+    names = [f.name for f in schema.fields]
+    carry = [c for c in docs.columns if c != text_col]
+    held = docs.withColumn(lost, F.col(text_col).isNull())
+    return with_ranges(held, id_col, text_col, [*carry, lost]).mapInArrow(finish, schema)
