@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -246,6 +247,41 @@ class BlockMaxIndex:
 
 
 
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
+    """Indexes of all test items, each of about ``INDEX_ITEMS`` at most; one after the other is built and broadcast."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id is not null and text is not null")
+    parts = max(1, -(-items.count() // INDEX_ITEMS))
+    out = []
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in rows])))
+    return out
+
+
+def search_all(shared: list[Broadcast], texts: list[str | None]) -> list[list[tuple[int, float]]]:
+    """The verified items of each text, over all indexes."""
+    own = [t or "" for t in texts]
+    hits: list[list] = [[] for _ in own]
+    for index in shared:
+        for part in chunks([len(t) for t in own], CHUNK):
+            for i, found in enumerate(index.value.search(own[part]), part.start):
+                hits[i] += found
+    return hits
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item; nothing is shuffled."""
+    shared = indexes(benchmark)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not found for found in search_all(shared, batch.column(at).to_pylist())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, contaminated, n_items, item_ids, max_overlap`` of every row.
 
@@ -253,27 +289,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     than five words must stand as a whole; rows that repeat a document come out once each; null ids are kept;
     other columns are ignored.
     """
-    spark = docs.sparkSession
     schema = to_arrow_schema(StructType.fromDDL("doc_id long, items array<struct<item_id:long,overlap:double>>"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id is not null and text is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = items.count()
-    parts = max(1, -(-n // INDEX_ITEMS))
-    # The size of each index is bounded; all indexes go over a batch of texts one after the other.
-    shared = []
-    for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        rows = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]
-        shared.append(spark.sparkContext.broadcast(BlockMaxIndex(rows)))
+    shared = indexes(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [t or "" for t in batch.column(1).to_pylist()]
-            hits: list[list] = [[] for _ in own]
-            for index in shared:
-                for part in chunks([len(t) for t in own], CHUNK):
-                    for i, found in enumerate(index.value.search(own[part]), part.start):
-                        hits[i] += [{"item_id": a, "overlap": b} for a, b in found]
+            hits = [[{"item_id": a, "overlap": b} for a, b in own] for own in search_all(shared, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, schema.field("items").type)], schema=schema)
 
     found = texts.mapInArrow(run, "doc_id long, items array<struct<item_id:long,overlap:double>>")

@@ -251,6 +251,21 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     return docs.select(doc_id.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the model does not call toxic; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            clean = [m.score(m.evidence(segments, n)) < 0.5 for n, segments, *_ in text_segments(m, texts)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on ``labels`` and score all of ``docs``."""
     return score_documents(docs, fit(docs, labels))
