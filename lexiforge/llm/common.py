@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no plan can reach any more, before a job that writes many new ones."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # Spark's cleaner learns of unreachable shuffles from the collector, and works beside it
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

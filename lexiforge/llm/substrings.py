@@ -39,7 +39,7 @@ BESIDE = (WINDOW - ANCHOR) // 2
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 24
 #: Level of compression on the way to the buckets.
-LEVEL = 5
+LEVEL = 9
 #: Text bytes that are cut up at a time, below 2**24 as places share a word with hashes.
 BATCH_BYTES = 2 << 20
 #: Text bytes whose stretches are gathered before they are compressed and sent.
