@@ -310,7 +310,7 @@ def rank_movement(spark, d):
 
 
 def answer_parts(spark, d):
-    sources = A.sources_of(reranked(spark, d))
+    sources = A.sources_of(reranked(spark, d)).persist()  # a few rows a query; every step below reads them
     claims = A.extractive_claims(sources)
     return sources, claims, A.render(claims)
 
@@ -367,7 +367,7 @@ def weighted_accuracy(spark, d):
 @query
 def nli_gate(spark, d):
     sources, claims, text = answer_parts(spark, d)
-    return A.gate(claims, text, sources)
+    return A.gate(claims.persist(), text.persist(), sources)
 
 
 @query
