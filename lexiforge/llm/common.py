@@ -52,6 +52,17 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Rows of long text that go to a Python worker at a time.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_ROWS`` rows in this session: texts are long, and both sides keep whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a scratch table early."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import small_batches
 from .textvec import chunks, mix, words
 
 #: Words of an index part and of a text block; a passage is two blocks.
@@ -249,6 +250,7 @@ class BlockMaxIndex:
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
     """Indexes of all test items, each of about ``INDEX_ITEMS`` at most; one after the other is built and broadcast."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // INDEX_ITEMS))
     out = []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import cut, small_batches
 from .textvec import LETTER, MARK, SPACE, char_classes, chunks, code_points, lower, mix, segment_sums
 
 ORDER = 4
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: LanguageModels, id_col: str = "doc_id", text
     Defined results: a null text, one without a letter, or a model without languages gives ``und`` with score 0,
     rejected; a null id is kept with held_out false; repeated rows are judged once each; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ORDER * languages * MODEL_NGRAMS
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release_shuffles
+from .common import cut, release_shuffles, small_batches
 from .components import connected_components
 from .textvec import chunks, mix, words
 
@@ -142,6 +142,7 @@ def sketch_table(texts: DataFrame, count: int, length: int, seed: int) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, count * len(some) + 1, count, dtype=np.int32)), pa.array(values[some].ravel()))
                 keys = keys.view(np.int64)[some]
                 ids = batch.column(0).slice(part.start, part.stop - part.start).take(pa.array(some))
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "key_1", "key_2", "sketches"])
 
     return texts.mapInArrow(run, "doc_id long, key_1 long, key_2 long, sketches array<long>")
@@ -201,6 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that repeat an id are one document; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("doc_id is not null")
     table = cut(sketch_table(known, *FIRST, 1), "minhash-sketches")

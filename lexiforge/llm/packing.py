@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import cut, small_batches
 from .textvec import LETTER, MARK, OTHER, SPACE, HashTable, char_classes, chunks, code_points, span_hashes
 
 #: Tokens in a sequence.
@@ -171,6 +171,7 @@ def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document's ids are those of its text and a closing id 0.  One longer than ``capacity`` is cut into pieces of
     ``capacity``, of which the first may be shorter.  A null text counts as empty: one piece of length 1.
     """
+    small_batches(docs.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

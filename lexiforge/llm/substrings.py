@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, release_shuffles
+from .common import cut, release_shuffles, small_batches
 from .textvec import chunks, mix, span_hashes
 
 #: Bytes of a repeated string.
@@ -43,7 +43,7 @@ LEVEL = 9
 #: Text bytes that are cut up at a time, below 2**24 as places share a word with hashes.
 BATCH_BYTES = 2 << 20
 #: Text bytes whose stretches are gathered before they are compressed and sent.
-SENT_BYTES = 16 << 20
+SENT_BYTES = 12 << 20
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 3 << 20
 
@@ -393,6 +393,7 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
             nonlocal size
             rows = list(send(held, buckets))
             held.clear()
+            pa.default_memory_pool().release_unused()
             size = 0
             for a in range(0, len(rows), 64):
                 some = rows[a : a + 64]
@@ -417,7 +418,9 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
             yield from flush()
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(judge(list(frame["blob"])))
+        out = pd.DataFrame(judge(list(frame["blob"])))
+        pa.default_memory_pool().release_unused()
+        return out
 
     dealt = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= WINDOW)).mapInArrow(cut_up, "bucket int, blob binary")
     found = dealt.groupBy("bucket").applyInPandas(settle, "doc_id long, version long, begin long, end long")
@@ -436,6 +439,7 @@ def merge_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def with_ranges(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """``doc_id, size, small, ranges, carry``: every text compressed, its ranges that go, and other columns as a struct."""
+    small_batches(docs.sparkSession)
     data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"))
     total = rows.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0

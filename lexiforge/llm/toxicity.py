@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import cut, small_batches
 from .textvec import chunks, words
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation: the only bounded sample.
@@ -233,6 +233,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     held_out false; repeated rows are scored once each; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MODEL_WORDS weights
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
 
@@ -253,6 +254,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text the model does not call toxic; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
