@@ -6,9 +6,10 @@ share these symbols and their order.  Texts that agree in any of several sketche
 longest common subsequence of their symbols, aligned inside the band that the threshold leaves, is at least 0.8 of
 the symbols of both together.
 
-Buckets of few texts are compared pair by pair.  In a crowded bucket all texts are compared with its smallest id; what
-does not link there is sketched again with more symbols a sketch, which parts texts that share but a passage, and
-compared in the buckets that result.
+Buckets of few texts are compared pair by pair.  In a crowded bucket all texts are compared with its smallest id first.
+Then rounds go on, block by block, until all of a bucket is compared: texts outside the bucket's largest class so far
+meet everything in it that is not yet of their class, and leave it.  Links decide classes only, so a pair whose ends are
+linked already is not compared; every other pair is.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from .textvec import chunks, mix, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketches of the first and of the second round, and symbols of each sketch.
-FIRST, SECOND = (24, 4), (32, 8)
-#: Texts of a bucket that are compared with each other; in a larger bucket, with its smallest id.
+#: Sketches of a text, and symbols of each sketch.
+FIRST = (24, 4)
+#: Texts of a bucket that are compared with each other at once; a larger bucket is compared in rounds.
 PAIRWISE = 8
+#: Bytes of text in a block of a crowded bucket, and how many times as much leads in each round as in the one before.
+BLOCK, GROWTH = 2_000_000, 8
 #: Symbols that pass the first sieve for each text and sketch.
 SIEVE = 20
 CHUNK = 1_500_000
@@ -149,29 +152,30 @@ def sketch_table(texts: DataFrame, count: int, length: int, seed: int) -> DataFr
 
 
 def candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` to compare and members of crowded buckets (``leader, doc_id``) from ``doc_id, sketches``."""
+    """Pairs ``a < b`` to compare and members of crowded buckets (``bucket, leader, doc_id``) from ``doc_id, sketches``."""
     spots = cut(sketched.select("doc_id", F.posexplode("sketches").alias("slot", "value")).select("doc_id", F.xxhash64("slot", "value").alias("bucket")), "minhash-spots")
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
     members = spots.join(sizes, "bucket")
     few = members.filter(F.col("n") <= PAIRWISE).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     each = few.select("ids", F.posexplode("ids").alias("k", "a"))
     close = each.select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"))
-    crowded = members.filter(F.col("n") > PAIRWISE).select("leader", "doc_id").filter("leader != doc_id").distinct()
+    crowded = cut(members.filter(F.col("n") > PAIRWISE).select("bucket", "leader", "doc_id").filter("leader != doc_id").distinct(), "minhash-crowded")
     return close.union(crowded.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))).distinct(), crowded
 
 
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=LEVEL)
+    for batch in batches:
+        data = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary())], ["doc_id", "size", "small"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, alike: bool = False) -> DataFrame:
     """``a, b`` of those pairs whose texts align.
 
     ``alike``: the ids grow with the corpus, so they meet the texts by a sorted join at every size.
     """
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=LEVEL)
-        for batch in batches:
-            data = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, data)), pa.int64()), pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary())], ["doc_id", "size", "small"])
-
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
@@ -194,6 +198,87 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, alike: bool =
     return joined.mapInArrow(align, "a long, b long").distinct()
 
 
+def block_links(ids: np.ndarray, component: np.ndarray, role: np.ndarray, texts: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links that join components, from all pairs of a leader and a member of different components.
+
+    ``role``: 0 for a leader, 1 for a member, 2 for a member that is a leader too; leaders meet each other once.
+    """
+    labelled, edges, *_ = symbols(texts)
+    n = np.diff(edges)
+    _, number = np.unique(labelled, return_inverse=True)
+    _, root = np.unique(component, return_inverse=True)
+    marked = np.zeros(len(labelled) + 1, bool)
+    members = np.flatnonzero((role > 0) & (n > 0))
+    out = []
+    if not len(members):
+        return out
+    own = np.concatenate([number[edges[m] : edges[m + 1]] for m in members])
+    begin = np.cumsum(n[members]) - n[members]
+    for i in np.flatnonzero((role == 0) & (n > 0)).tolist():
+        least = threshold * (n[i] + n[members]) / (1 + threshold) - 1e-9
+        fits = (root[members] != root[i]) & (np.minimum(n[i], n[members]) >= least) & ((role[members] == 1) | (ids[members] > ids[i]))
+        near = np.flatnonzero(fits)
+        if not len(near):
+            continue
+        mine = number[edges[i] : edges[i + 1]]
+        marked[mine] = True
+        if 4 * len(near) > len(members):
+            common = np.add.reduceat(marked[own], begin, dtype=np.int64)[near]
+        else:
+            common = np.array([np.count_nonzero(marked[own[begin[k] : begin[k] + n[members[k]]]]) for k in near.tolist()])
+        marked[mine] = False
+        for j in members[near[common >= least[near]]].tolist():
+            if root[i] != root[j] and alignment(labelled[edges[i] : edges[i + 1]], labelled[edges[j] : edges[j + 1]], threshold) >= threshold:
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def crowded_links(crowded: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` and the links inside crowded buckets that join further components; the components of all of them.
+
+    A bucket is finished when what has not been a leader in it is of one component.  Who leads is drawn by hash from
+    outside the largest component; a round's leaders meet all of the bucket, by blocks of bounded bytes.
+    """
+    spark = texts.sparkSession
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, component, role, size = (group.column(c).to_numpy() for c in ("doc_id", "component", "role", "size"))
+        own = [pa.decompress(s.as_buffer(), int(k), codec="zstd", asbytes=True).decode() for s, k in zip(group.column("small"), size, strict=True)]
+        found = np.array(block_links(ids, component, role, own, threshold), np.int64).reshape(-1, 2)
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)}) if len(found) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    # of buckets with the same members one is enough
+    sets = crowded.groupBy("bucket", "leader").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all"))
+    now = crowded.join(sets.groupBy("leader", "n", "all").agg(F.min("bucket").alias("bucket")), ["bucket", "leader"], "left_semi").select("bucket", "doc_id")
+    small, turn = None, 0
+    while True:
+        parts = cut(connected_components(links, "a", "b"), "minhash-parts")
+        named = now.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"), *(["size"] if small else []))
+        kinds = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", F.col("most.component").alias("largest"))
+        now = cut(named.join(mixed, "bucket").withColumn("open", F.col("component") != F.col("largest")).drop("largest"), "minhash-open")
+        if now.isEmpty():
+            return links, parts
+        if small is None:
+            small = cut(texts.join(now.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shrink, "doc_id long, size long, small binary"), "minhash-blocks")
+            now = cut(now.join(small.groupBy("doc_id").agg(F.sum("size").alias("size")), "doc_id"), "minhash-open")
+        share = now.groupBy("bucket").agg(F.sum(F.when(F.col("open"), F.col("size"))).alias("whole"))
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1_000_000)) * (F.col("whole") / F.lit(float(BLOCK * GROWTH**turn))) < 1_000_000
+        now = cut(now.join(share, "bucket").select("bucket", "doc_id", "component", "size", (F.col("open") & drawn).alias("leads")), "minhash-round")
+        blocks = now.groupBy("bucket").agg(*[F.ceil(F.coalesce(F.sum(s), F.lit(0)) / BLOCK).cast("int").alias(k) for k, s in (("rows", F.when(F.col("leads"), F.col("size"))), ("columns", F.col("size")))]).filter("rows > 0")
+        dealt = now.join(blocks, "bucket")
+        at = lambda salt, k: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        leaders = dealt.filter("leads").select("bucket", at("row", "rows").alias("row"), every("columns").alias("column"), "doc_id", "component", F.lit(0).alias("role"))
+        members = dealt.select("bucket", every("rows").alias("row"), at("column", "columns").alias("column"), "doc_id", "component", F.when(F.col("leads"), 2).otherwise(1).alias("role"))
+        found = leaders.union(members).join(small, "doc_id").groupBy("bucket", "row", "column").applyInArrow(compare, "a long, b long").distinct()
+        links = links.union(cut(found, f"minhash-links-{turn + 2}"))
+        release_shuffles(spark)
+        now, turn = now.filter("not leads").select("bucket", "doc_id", "size"), turn + 1
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, class_size, kept`` of every row; the class is the smallest id that links reach.
 
@@ -210,19 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copied = cut(firsts.filter("n > 1").select("key_1", "key_2", "rep"), "minhash-copies")
     named = table.join(copied, ["key_1", "key_2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "sketches")
     pairs, crowded = candidates(named.filter("doc_id = rep").select("doc_id", "sketches"))
-    pairs, crowded = cut(pairs, "minhash-pairs"), cut(crowded, "minhash-crowded")
+    pairs = cut(pairs, "minhash-pairs")
     links = cut(verified(pairs, known, threshold, alike=True), "minhash-links")
     release_shuffles(spark)
-    # members of crowded buckets that did not link with the leader of each
-    left = crowded.join(links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id")), ["leader", "doc_id"], "left_anti")
-    left = cut(left.select(F.explode(F.array("leader", "doc_id")).alias("doc_id")).distinct(), "minhash-left")
-    if not left.isEmpty():
-        again = sketch_table(known.join(left, "doc_id", "left_semi"), *SECOND, 2)
-        more, _ = candidates(again.select("doc_id", "sketches"))
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"), "minhash-pairs-2")
-        links = links.union(cut(verified(more, known, threshold), "minhash-links-2"))
-        release_shuffles(spark)
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
+    _, parts = crowded_links(crowded, links, known, threshold)
+    parts = parts.withColumnRenamed("node", "rep")
     classes = named.select("doc_id", "rep").distinct().join(parts, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     classes = cut(classes, "minhash-classes")
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1")

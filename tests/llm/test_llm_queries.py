@@ -52,6 +52,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: find(i) for i in ids}
 
 
+def test_crowded_buckets_against_all_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):  # of a template with 16 slots, every text fills 12 in its own way
+        own = [f"w{i}" for i in range(400)]
+        for slot in rng.choice(16, 12, replace=False).tolist():
+            own[25 * slot + 7] = f"x{rng.integers(4)}"
+        texts.append(" ".join(own))
+    labelled, edges, *_ = minhash.symbols(texts)
+    values = minhash.sketches(labelled, edges, *minhash.FIRST, 1)
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and (values[i] == values[j]).any() and minhash.alignment(labelled[edges[i] : edges[i + 1]], labelled[edges[j] : edges[j + 1]]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 30_000)  # several blocks and rounds
+    got = dict(minhash.near_duplicates(docs).toPandas()[["doc_id", "class_id"]].itertuples(index=False))
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicate_odd_rows(spark):
     got = minhash.near_duplicates(odd(spark)).toPandas()
     assert len(got) == len(ODD) and set(got[got.doc_id.isin([1, 2])].class_id) == {1} and got[got.doc_id.isin([3, 4, 5, 6])].kept.all()
