@@ -81,6 +81,9 @@ def write_index(tables: dict[str, DataFrame], folder: str) -> None:
         back = rows.sparkSession.read.parquet(f"{folder}/{name}")
         if back.schema != rows.schema and [f.dataType for f in back.schema] != [f.dataType for f in rows.schema]:
             raise IntegrityError(f"{name} changed its schema")
+        stated, found = rows.count(), back.count()
+        if found != stated:
+            raise IntegrityError(f"{name} has {found} rows instead of {stated}")
 
 
 def run_metadata(spark: SparkSession, generator: str, config: dict[str, str]) -> DataFrame:

@@ -95,3 +95,14 @@ def test_malformed_chunks_are_findings(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, theme string, page_start int, page_end int, tokens_est int, text string")
     got = {r.check: r.status for r in quality.chunk_gate(chunks).collect()}
     assert got["required_fields"] == got["unique_ids"] == got["empty_text"] == got["document_consistency"] == got["page_coherence"] == "FAIL"
+
+
+def test_short_index_tables_are_refused(spark, tmp_path, monkeypatch):
+    from lexiforge.sources import tables
+
+    rows = spark.range(5)
+    tables.write_index({"whole": rows, "none": rows.limit(0)}, str(tmp_path))
+    whole = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths: whole(self, *paths).limit(3))
+    with pytest.raises(tables.IntegrityError, match="3 rows instead of 5"):
+        tables.write_index({"short": rows}, str(tmp_path))
