@@ -140,6 +140,13 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_long_headers_are_read():
+    url = "http://a.b/" + "x" * (2 << 20)
+    data = warc.gzip_member(warc.page_record(1, url, b"one", None)) + warc.gzip_member(warc.page_record(2, "http://c.d/", b"two", None))
+    got = list(warc.salvage(data))
+    assert [(g[0], g[3].get("warc-target-uri")) for g in got] == [("record", url), ("record", "http://c.d/")]
+
+
 def test_salvage_goes_on_after_damage():
     records = [warc.page_record(i, f"http://x/{i}", (f"page {i} " * 200).encode(), None) for i in range(6)]
     members = [warc.gzip_member(r) for r in records]
