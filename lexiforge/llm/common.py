@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
@@ -52,6 +60,13 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it stays alive between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 #: Rows of long text that go to a Python worker at a time.
 BATCH_ROWS = 2000
 

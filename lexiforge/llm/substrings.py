@@ -3,12 +3,13 @@
 Every 50-byte window of the corpus is dealt to a bucket by its minimiser, the 10-byte string inside it of smallest
 hash; equal windows have equal minimisers, so each bucket can be judged alone.  Neighbouring windows share their
 minimiser and travel as one stretch.  A bucket first drops windows whose minimiser, with the longer part of the window
-beside it, stands in one document only, then sorts the suffixes that begin at its windows by deep-shallow sorting: multikey quicksort over 8-byte characters to a
-shallow depth, dropping what is alone, then blind tries for the groups whose common prefix goes on.  Windows that
-are equal over the whole length form a class; those not in the class's smallest document go.
+beside it, stands in one document only.  The suffixes that begin at its windows are then sorted by deep-shallow
+sorting: multikey quicksort over 8-byte characters to a shallow depth, leaving out what is alone, then blind tries for
+the groups whose common prefix goes on.  A leaf of a trie holds the windows that are equal, byte for byte; those not in
+the leaf's smallest document go.  Hashes deal and preselect only: nothing is removed before its bytes were compared.
 
-Stretches that occur several times in a batch are settled there: the smallest document's goes on, the other
-documents' are removed, so a passage that stands in very many documents reaches its bucket once a batch.
+Stretches that occur several times in a task are settled there, again byte for byte: the smallest document's goes on,
+the other documents' are removed, so a passage that stands in very many documents reaches its bucket about once a task.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, release_shuffles, small_batches
+from .common import cut, give_back, release_shuffles, small_batches
 from .textvec import chunks, mix, span_hashes
 
 #: Bytes of a repeated string.
@@ -41,65 +42,20 @@ SHALLOW = 24
 #: Level of compression on the way to the buckets.
 LEVEL = 9
 #: Text bytes that are cut up at a time, below 2**24 as places share a word with hashes.
-BATCH_BYTES = 2 << 20
-#: Text bytes whose stretches are gathered before they are compressed and sent.
-SENT_BYTES = 12 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes of stretches, about four times those of their texts, that are gathered before they are compressed and sent.
+SENT_BYTES = 32 << 20
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 3 << 20
 
 
-class BlindTrie:
-    """Orders strings of equal length; a search looks at branching bytes alone and compares once, with the leaf it meets."""
+def words_at(raw: bytes | bytearray | memoryview) -> np.ndarray:
+    """The 8 bytes from every place on as one number that sorts as they do, as a view; the last 7 places have none."""
+    return np.ndarray((max(0, len(raw) - 7),), ">u8", raw, 0, (1,))
 
-    def __init__(self):
-        self.root: list | None = None
 
-    def insert(self, text: bytes, item: object) -> None:
-        """Nodes are [branching place, {byte: node}, some text below]; leaves are [length, items, text]."""
-        if self.root is None:
-            self.root = [len(text), [item], text]
-            return
-        node = self.root
-        while node[0] < len(text):
-            node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
-        other = node[2]
-        if other == text:
-            node[1].append(item)
-            return
-        common = next(k for k in range(len(text)) if text[k] != other[k])
-        parent, node = None, self.root
-        while node[0] < common:
-            parent, node = node, node[1][text[node[0]]]
-        leaf = [len(text), [item], text]
-        if node[0] == common:
-            node[1][text[common]] = leaf
-            return
-        split = [common, {node[2][common]: node, text[common]: leaf}, text]
-        if parent is None:
-            self.root = split
-        else:
-            parent[1][text[parent[0]]] = split
-
-    def leaves(self) -> Iterator[list]:
-        """Items of each distinct text, in the texts' order."""
-        stack = [self.root] if self.root else []
-        while stack:
-            node = stack.pop()
-            if isinstance(node[1], list):
-                yield node[1]
-            else:
-                stack.extend(node[1][b] for b in sorted(node[1], reverse=True))
-
-
-def big_endian_words(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from every place on as one number that sorts as they do; zeros stand behind the end."""
-    padded = np.zeros(len(data) + 16, np.uint8)
-    padded[: len(data)] = data
-    out = np.empty(len(data) // 8 * 8 + 8, np.uint64)
-    raw = padded.tobytes()
-    for k in range(8):
-        out[k::8] = np.frombuffer(raw, ">u8", len(out) // 8, k)
-    return out[: len(data)]
+def word(view: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return view[places].astype(np.uint64)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -113,68 +69,124 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def deep_shallow_groups(data: np.ndarray, places: np.ndarray, owners: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that begin at ``places`` of ``data``, sorted to ``depth`` bytes, where several owners share one.
+def shared_runs(owner: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which runs several owners share."""
+    if len(bounds) < 2:
+        return np.zeros(0, bool)
+    return np.minimum.reduceat(owner, bounds[:-1]) != np.maximum.reduceat(owner, bounds[:-1])
 
-    Returns indices into ``places`` in order, and the bounds of runs that are equal to ``depth``.  Suffixes that no
-    other owner shares are left out as soon as that is known.
+
+def multikey_quicksort(view: np.ndarray, places: np.ndarray, owners: np.ndarray, bounds: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``places`` by their first ``shallow`` bytes, as far as several owners share them.
+
+    Multikey quicksort over 8-byte characters of all given runs (``bounds``) at once: a round parts each run by a
+    pivot, the median of three, into smaller, equal and larger; equal parts go on a character further.  A part of a
+    single owner shares nothing and is left out.  Returns indices into ``places`` in order and the bounds of runs that
+    are equal to ``shallow``.
     """
-    words = big_endian_words(data)
     index = np.arange(len(places))
-    group = np.zeros(len(places), np.int64)
-    for d in range(0, shallow, 8):
-        word = words[places[index] + d]
-        order = np.argsort(word, kind="stable") if d == 0 else np.lexsort((word, group))
-        index, group, word = index[order], group[order], word[order]
-        bounds = runs(group, word)
-        if len(bounds) == 1:
-            return index, bounds
-        own = owners[index]
-        shared = np.minimum.reduceat(own, bounds[:-1]) != np.maximum.reduceat(own, bounds[:-1])
+    depth = np.zeros(len(bounds) - 1, np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        kept = shared_runs(owners[index], bounds)
+        finished = kept & (depth >= shallow)
+        sizes = np.diff(bounds)
+        if finished.any():
+            done.append((index[np.repeat(finished, sizes)], sizes[finished]))
+        kept &= ~finished
+        if not kept.any():
+            break
+        index, depth, sizes = index[np.repeat(kept, sizes)], depth[kept], sizes[kept]
+        start = np.cumsum(sizes) - sizes
+        w = word(view, places[index] + np.repeat(depth, sizes))
+        pivot = np.repeat(np.sort(np.stack([w[start], w[start + sizes // 2], w[start + sizes - 1]]), axis=0)[1], sizes)
+        parts = (w < pivot, w == pivot, w > pivot)
+        # a stable three-way partition by counting
+        to = np.zeros(len(index), np.int64)
+        begin, counts = start, []
+        for part in parts:
+            rank = np.cumsum(part) - part
+            counts.append(np.add.reduceat(part, start, dtype=np.int64))
+            to[part] = (np.repeat(begin - rank[start], sizes) + rank)[part]
+            begin = begin + counts[-1]
+        moved = np.empty_like(index)
+        moved[to] = index
+        index = moved
+        sizes = np.stack(counts, axis=1).ravel()
+        depth = np.stack([depth, depth + 8, depth], axis=1).ravel()[sizes > 0]
+        bounds = np.append(0, np.cumsum(sizes[sizes > 0]))
+    if not done:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate([i for i, _ in done]), np.append(0, np.cumsum(np.concatenate([n for _, n in done])))
+
+
+def first_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First byte, 0 to 7, in which words differ; 8 where they are equal."""
+    x = a ^ b
+    out = np.full(len(x), 8)
+    odd = np.flatnonzero(x)
+    out[odd] = sum((x[odd] < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+    return out
+
+
+def blind_tries(data: np.ndarray, view: np.ndarray, places: np.ndarray, owners: np.ndarray, index: np.ndarray, bounds: np.ndarray, shallow: int = SHALLOW, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Blind tries of the runs that are equal to ``shallow``, all grown together; their leaves are the equal strings.
+
+    A node looks at one byte, the first in which its strings differ, found by comparing each string with one of them,
+    byte for byte to ``depth``; its children are the strings by that byte, in order.  A node without such a byte is a leaf.
+    Children of a single owner are not followed.  Returns indices into ``places`` and the bounds of the leaves.
+    """
+    tail = [*range(shallow, depth - 8, 8), depth - 8]
+    leaves: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(index):
         sizes = np.diff(bounds)
-        kept = np.repeat(shared, sizes)
-        index = index[kept]
-        group = np.repeat(np.arange(int(shared.sum())), sizes[shared])
-    bounds = runs(group)
-    if not len(index):
-        return index, np.zeros(1, np.int64)
-    # Groups that are equal to the end are blind tries of one leaf.
-    tail = [words[places[index] + d] for d in (*range(shallow, depth - 8, 8), depth - 8)]
-    same = np.ones(len(index), bool)
-    first = np.repeat(bounds[:-1], np.diff(bounds))
-    for t in tail:
-        same &= t == t[first]
-    uniform = np.logical_and.reduceat(same, bounds[:-1])
-    mixed = np.repeat(~uniform, np.diff(bounds))
-    if not mixed.any():
-        return index, bounds
-    done, sizes = index[~mixed], np.diff(bounds)[uniform]
-    # In the others, again, what no other owner shares goes; one suffix of each kind that stays enters the trie.
-    index, group = index[mixed], group[mixed]
-    kind = tail[0][mixed]
-    for t in tail[1:]:
-        kind = mix(kind) + t[mixed]
-    order = np.lexsort((kind, group))
-    index, group, kind = index[order], group[order], kind[order]
-    edges = runs(group, kind)
-    own = owners[index]
-    shared = np.minimum.reduceat(own, edges[:-1]) != np.maximum.reduceat(own, edges[:-1])
-    starts, stops = edges[:-1][shared], edges[1:][shared]
-    sets = runs(group[starts]) if len(starts) else np.zeros(1, np.int64)
-    pieces, raw = [done], None
-    for a, b in zip(sets[:-1].tolist(), sets[1:].tolist(), strict=True):
-        kinds = range(a, b)
-        if b - a > 1:
-            raw = raw or data.tobytes()
-            trie = BlindTrie()
-            for k in kinds:
-                p = int(places[index[starts[k]]]) + shallow
-                trie.insert(raw[p : p + depth - shallow], k)
-            kinds = [k for items in trie.leaves() for k in items]
-        for k in kinds:
-            pieces.append(index[starts[k] : stops[k]])
-    sizes = np.concatenate([sizes, np.array([len(x) for x in pieces[1:]], np.int64)])
-    return np.concatenate(pieces), np.append(0, np.cumsum(sizes))
+        start = np.repeat(bounds[:-1], sizes)
+        common = np.full(len(index), depth)
+        open_ = np.arange(len(index))
+        for d in tail:
+            at = first_difference(word(view, places[index[open_]] + d), word(view, places[index[start[open_]]] + d))
+            odd = at < 8
+            common[open_[odd]] = d + at[odd]
+            open_ = open_[~odd]
+        branch = np.minimum.reduceat(common, bounds[:-1])
+        whole = branch >= depth
+        if whole.any():
+            leaves.append((index[np.repeat(whole, sizes)], sizes[whole]))
+        rest = np.repeat(~whole, sizes)
+        index = index[rest]
+        node = np.repeat(np.arange(int((~whole).sum())), sizes[~whole])
+        key = node * 256 + data[places[index] + np.repeat(branch[~whole], sizes[~whole])]
+        order = np.argsort(key, kind="stable")
+        index, key = index[order], key[order]
+        bounds = runs(key)
+        kept = shared_runs(owners[index], bounds)
+        sizes = np.diff(bounds)
+        index, bounds = index[np.repeat(kept, sizes)], np.append(0, np.cumsum(sizes[kept]))
+    if not leaves:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate([i for i, _ in leaves]), np.append(0, np.cumsum(np.concatenate([n for _, n in leaves])))
+
+
+def deep_shallow_groups(data: np.ndarray, places: np.ndarray, owners: np.ndarray, bounds: np.ndarray | None = None, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of ``depth`` bytes at ``places`` of ``data`` that several owners share, each with all its places.
+
+    ``bounds`` are runs of places, in one of which equal strings stand together; without it there is one run.  Returns
+    indices into ``places`` and the bounds of runs of equal strings.
+    """
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    view = words_at(data.data)
+    index, runs_ = multikey_quicksort(view, places, owners, np.array([0, len(places)]) if bounds is None else bounds, shallow)
+    return blind_tries(data, view, places, owners, index, runs_, shallow, depth)
+
+
+def same_bytes(view: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes (8 at least) at ``a`` are those at ``b``."""
+    out = np.ones(len(a), bool)
+    for k in range(0, int(length.max(initial=0)), 8):
+        at = np.minimum(k, length - 8)
+        out &= view[a + at] == view[b + at]
+    return out
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,10 +195,9 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if n < WINDOW:
         return none, none, none, none.astype(np.uint64), none
-    words = big_endian_words(data)
+    view = words_at(data.data)
     h = np.zeros(n, np.uint64)
-    h[: n - ANCHOR + 8] = mix(mix(words[: n - ANCHOR + 8]) + words[ANCHOR - 8 :])
-    del words
+    h[: n - ANCHOR + 1] = mix(mix(view[: n - ANCHOR + 1].astype(np.uint64)) + view[ANCHOR - 8 :].astype(np.uint64))
     low = np.uint64(24)
     m = ((h >> low) << low) | np.arange(n, dtype=np.uint64)
     span, reach = WINDOW - ANCHOR + 1, 1
@@ -254,7 +265,48 @@ class Dealt:
     range_edges: np.ndarray
 
 
-def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int, shift: int = 0) -> Dealt | None:
+class Repeated:
+    """Strings that a task has met in several documents, with the smallest of those documents.
+
+    What a later batch holds of them need not travel, so a passage of very many documents reaches its bucket about once
+    a task.  Beyond ``ROOM`` some are forgotten: that costs traffic, never a result.
+    """
+
+    ROOM = 20_000
+    WIDTH = 2 * WINDOW - ANCHOR
+
+    def __init__(self):
+        self.keys, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.texts = np.zeros(0, np.int64), np.zeros((0, self.WIDTH), np.uint8)
+
+    def strings(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Strings as rows, zeros behind their ends."""
+        at = np.arange(self.WIDTH)
+        inside = at < length[:, None]
+        return np.where(inside, data[np.where(inside, start[:, None] + at, 0)], 0).astype(np.uint8)
+
+    def smallest(self, keys: np.ndarray, docs: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The smallest document known for each of distinct strings, which are then known for ``docs`` as well."""
+        out = docs.copy()
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        near = np.flatnonzero(self.keys[at] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        same = near[(self.sizes[at[near]] == length[near]) & (self.texts[at[near]] == self.strings(data, start[near], length[near])).all(axis=1)]
+        out[same] = np.minimum(docs[same], self.docs[at[same]])
+        self.docs[at[same]] = out[same]
+        return out
+
+    def learn(self, keys: np.ndarray, docs: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        new = np.flatnonzero(~np.isin(keys, self.keys))[: self.ROOM]
+        if not len(new):
+            return
+        old = slice(max(0, len(self.keys) + len(new) - self.ROOM), None)
+        columns = [np.concatenate([a[old], b]) for a, b in ((self.keys, keys[new]), (self.docs, docs[new]), (self.sizes, length[new]), (self.texts, self.strings(data, start[new], length[new])))]
+        order = np.argsort(columns[0], kind="stable")
+        self.keys, self.docs, self.sizes, self.texts = (c[order] for c in columns)
+
+
+def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int, shift: int = 0, repeated: Repeated | None = None) -> Dealt | None:
     """Cut texts up; ``shift`` is the place of a lone piece in its document."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.zeros(len(texts) + 1, np.int64)
@@ -262,12 +314,25 @@ def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets:
     start, last, anchor, h, text = stretches(data, bounds)
     if not len(start):
         return None
+    size = last - start + WINDOW
     content = span_hashes(data, start, last + WINDOW)
     order = np.lexsort((doc_ids[text], content))
     edges = runs(content[order])
-    smallest = np.repeat(doc_ids[text[order[edges[:-1]]]], np.diff(edges))
+    group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    first = order[edges[:-1]]
+    several = np.flatnonzero(np.diff(edges) > 1)
+    smallest = doc_ids[text[first]]
+    if repeated is not None:
+        smallest = repeated.smallest(content[first], smallest, data, start[first], size[first])
+        common = several[doc_ids[text[order[edges[several + 1] - 1]]] > smallest[several]]
+        repeated.learn(content[first[common]], smallest[common], data, start[first[common]], size[first[common]])
+    # settled: another document's, smaller, holds the same bytes
+    own, head = order, first[group]
+    later = np.flatnonzero(doc_ids[text[own]] > smallest[group])
+    later = later[size[own[later]] == size[head[later]]]
+    later = later[same_bytes(words_at(data.data), start[own[later]], start[head[later]], size[own[later]])]
     settled = np.zeros(len(start), bool)
-    settled[order] = doc_ids[text[order]] > smallest
+    settled[own[later]] = True
     bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
     own = text[settled]
     ranges = np.zeros(len(own), RANGE)
@@ -279,7 +344,7 @@ def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets:
     sent = sent[np.argsort(bucket[sent], kind="stable")]
     rows = np.zeros(len(sent), STRETCH)
     rows["doc"], rows["start"] = text[sent], start[sent] - bounds[text[sent]] + shift
-    rows["anchor"], rows["length"] = anchor[sent] - start[sent], last[sent] - start[sent] + WINDOW
+    rows["anchor"], rows["length"] = anchor[sent] - start[sent], size[sent]
     length = rows["length"].astype(np.int64)
     before = np.append(0, np.cumsum(length))
     payload = data[np.repeat(start[sent] - before[:-1], length) + np.arange(before[-1])].tobytes()
@@ -310,18 +375,19 @@ def send(dealt: list[Dealt], buckets: int) -> Iterator[tuple[int, bytes]]:
             yield k, pack_blob(np.concatenate(ids) if ids else none, np.concatenate(versions) if ids else none, np.concatenate(rows) if rows else np.zeros(0, STRETCH), b"".join(payload), gone)
 
 
-def shared_contexts(words: np.ndarray, at: np.ndarray, steps: tuple, rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Those of ``rows`` whose bytes around ``at`` stand with another owner too."""
-    key = words[at[rows] + steps[0]]
+def shared_contexts(view: np.ndarray, at: np.ndarray, steps: tuple, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``rows`` whose bytes around ``at`` stand with another owner too, and the number of each one's context.
+
+    Equal contexts have equal numbers; contexts are told apart by a hash, so different ones may share a number.
+    """
+    key = word(view, at[rows] + steps[0])
     for d in steps[1:]:
-        key = mix(key) + words[at[rows] + d]
+        key = mix(key) + word(view, at[rows] + d)
     order = np.argsort(key, kind="stable")
     edges = runs(key[order])
-    if len(edges) == 1:
-        return rows[:0]
-    own = owner[rows[order]]
-    shared = np.minimum.reduceat(own, edges[:-1]) != np.maximum.reduceat(own, edges[:-1])
-    return np.sort(rows[order[np.repeat(shared, np.diff(edges))]])
+    shared = shared_runs(owner[rows[order]], edges)
+    sizes = np.diff(edges)
+    return rows[order[np.repeat(shared, sizes)]], np.repeat(np.arange(int(shared.sum())), sizes[shared])
 
 
 def judge(blobs: list[bytes]) -> np.ndarray:
@@ -344,22 +410,27 @@ def judge(blobs: list[bytes]) -> np.ndarray:
     offset = np.cumsum(length) - length
     owner = doc_ids[rows["doc"]]
     anchor = rows["anchor"].astype(np.int64)
-    words = big_endian_words(data)
+    view = words_at(data.data)
     # Places of windows, as bytes before the minimiser: up to BESIDE the right side is the longer one, then the left.
     low, high = np.maximum(0, anchor - (length - WINDOW)), anchor
-    right = shared_contexts(words, offset + anchor, (0, 8, 16, ANCHOR + BESIDE - 8), np.flatnonzero(low <= BESIDE), owner)
-    left = shared_contexts(words, offset + anchor, (-BESIDE, 8 - BESIDE, 16 - BESIDE, ANCHOR - 8), np.flatnonzero(high > BESIDE), owner)
-    del words
+    right, right_context = shared_contexts(view, offset + anchor, (0, 8, 16, ANCHOR + BESIDE - 8), np.flatnonzero(low <= BESIDE), owner)
+    left, left_context = shared_contexts(view, offset + anchor, (-BESIDE, 8 - BESIDE, 16 - BESIDE, ANCHOR - 8), np.flatnonzero(high > BESIDE), owner)
     rest = np.concatenate([right, left])
     if not len(rest):
         return settled
-    begin = anchor[rest] - np.concatenate([np.minimum(high[right], BESIDE), high[left]])
-    count = np.concatenate([np.minimum(high[right], BESIDE) - low[right], high[left] - np.maximum(low[left], BESIDE + 1)]) + 1
-    # the windows of what is left
+    most = np.concatenate([np.minimum(high[right], BESIDE), high[left]])
+    count = most - np.concatenate([low[right], np.maximum(low[left], BESIDE + 1)]) + 1
+    # the windows of what is left; equal ones have equal contexts and equal bytes before the minimiser
     first = np.cumsum(count) - count
-    place = np.repeat(offset[rest] + begin - first, count) + np.arange(int(count.sum()))
+    step = np.arange(int(count.sum())) - np.repeat(first, count)
+    begin = anchor[rest] - most
+    place = np.repeat(offset[rest] + begin, count) + step
+    context = np.concatenate([right_context, left_context + (right_context[-1] + 1 if len(right) else 0)])
+    key = np.repeat(context * WINDOW + most, count) - step
     of = np.repeat(rest, count)
-    index, bounds = deep_shallow_groups(data, place, owner[of])
+    order = np.argsort(key, kind="stable")
+    index, bounds = deep_shallow_groups(data, place[order], owner[of[order]], runs(key[order]))
+    index = order[index]
     gone = np.zeros(len(place), bool)
     if len(index):
         low = np.minimum.reduceat(owner[of[index]], bounds[:-1])
@@ -387,17 +458,21 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Dealt] = []
-        size = 0
+        size, repeated = 0, Repeated()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            rows = list(send(held, buckets))
+            some: list[tuple[int, bytes]] = []
+            for row in send(held, buckets):
+                some.append(row)
+                if len(some) == 32:
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["bucket", "blob"])
+                    some = []
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["bucket", "blob"])
             held.clear()
-            pa.default_memory_pool().release_unused()
+            give_back()
             size = 0
-            for a in range(0, len(rows), 64):
-                some = rows[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
             doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -408,18 +483,18 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
                 step = BATCH_BYTES - WINDOW + 1
                 long = len(texts) == 1 and len(texts[0]) > BATCH_BYTES
                 for at in range(0, len(texts[0]) - WINDOW + 1, step) if long else (0,):
-                    got = deal(doc_ids[part], versions[part], [texts[0][at : at + BATCH_BYTES]] if long else texts, buckets, at)
+                    got = deal(doc_ids[part], versions[part], [texts[0][at : at + BATCH_BYTES]] if long else texts, buckets, at, repeated)
                     if got:
                         held.append(got)
-                        size += min(BATCH_BYTES, sum(map(len, texts)))
+                        size += len(got.payload)
                     if size >= SENT_BYTES:
                         yield from flush()
         if held:
             yield from flush()
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(judge(list(frame["blob"])))
-        pa.default_memory_pool().release_unused()
+        out = pd.DataFrame(judge(frame.pop("blob").tolist()))
+        give_back()
         return out
 
     dealt = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= WINDOW)).mapInArrow(cut_up, "bucket int, blob binary")
@@ -438,10 +513,12 @@ def merge_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def with_ranges(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """``doc_id, size, small, ranges, carry``: every text compressed, its ranges that go, and other columns as a struct."""
+    """``doc_id, size, small, ranges, missing, carry``: every text compressed, its ranges that go, whether it was null, and
+    other columns as a struct of fields ``c0, c1, ...``, so that their names meet nothing here."""
     small_batches(docs.sparkSession)
     data = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"))
+    held = F.struct(F.col(text_col).isNull().alias("missing"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), held.alias("carry"))
     total = rows.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count()
     # Texts that share an id are told apart by a hash; where ids are unique, as they should be, that costs nothing.
@@ -501,8 +578,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Characters that lose some of their bytes go whole.  A row whose text goes whole is left out; rows that lose nothing
     keep text and number as they are, also null.
     """
-    lost = "__text"
     schema = StructType([f for f in docs.schema])
+    carry = [c for c in docs.columns if c != text_col]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,20 +589,18 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 kept.append(text.decode("utf-8", "ignore"))
                 changed.append(bool(spans))
                 stays.append(not spans or bool(kept[-1]))
-            carried = pa.StructArray.from_arrays(batch.column(4).flatten(), fields=list(batch.column(4).type))
+            held = dict(zip(["", *carry], batch.column(4).flatten(), strict=True))
+            missing = held.pop("").to_pylist()
             columns = []
             for f in schema.fields:
                 if f.name == text_col:
-                    null = carried.field(lost).to_pylist()
-                    columns.append(pa.array([None if n and not c else t for t, n, c in zip(kept, null, changed, strict=True)], pa.string()))
+                    columns.append(pa.array([None if n else t for t, n in zip(kept, missing, strict=True)], pa.string()))
                 elif f.name == chars_col:
-                    old = carried.field(chars_col)
+                    old = held[chars_col]
                     columns.append(pa.array([len(t) if c else o for t, c, o in zip(kept, changed, old.to_pylist(), strict=True)], old.type))
                 else:
-                    columns.append(carried.field(f.name))
+                    columns.append(held[f.name])
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
 
     names = [f.name for f in schema.fields]
-    carry = [c for c in docs.columns if c != text_col]
-    held = docs.withColumn(lost, F.col(text_col).isNull())
-    return with_ranges(held, id_col, text_col, [*carry, lost]).mapInArrow(finish, schema)
+    return with_ranges(docs, id_col, text_col, carry).mapInArrow(finish, schema)

@@ -73,14 +73,55 @@ def test_substrings_against_all_windows(seed):
     assert all((got[i] == want[i]).all() for i in want)
 
 
-def test_blind_trie_sorts():
+def test_blind_tries_sort_and_their_leaves_are_equal_strings():
     rng = random.Random(5)
-    texts = [bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(60)]
-    trie = substrings.BlindTrie()
-    for t in texts:
-        trie.insert(t, t)
-    leaves = list(trie.leaves())
-    assert [x[0] for x in leaves] == sorted(set(texts)) and sum(map(len, leaves)) == len(texts)
+    texts = [b"same" + bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(300)]
+    raw = b"".join(t + b"....." for t in texts) + bytes(64)
+    data, places = np.frombuffer(raw, np.uint8), np.arange(300) * 17
+    index, bounds = substrings.blind_tries(data, substrings.words_at(data.data), places, np.arange(300), np.arange(300), np.array([0, 300]), 4, 12)
+    leaves = [[texts[i] for i in index[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    want = {t: texts.count(t) for t in texts}
+    assert all(len(set(x)) == 1 for x in leaves) and {x[0]: len(x) for x in leaves} == {t: n for t, n in want.items() if n > 1}
+
+
+def test_multikey_quicksort_orders_shared_prefixes():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab") for _ in range(2)) * 12 for _ in range(200)]
+    data = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
+    index, bounds = substrings.multikey_quicksort(substrings.words_at(data.data), np.arange(200) * 24, np.arange(200), np.array([0, 200]), 24)
+    groups = [[texts[i] for i in index[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert all(len(set(x)) == 1 for x in groups) and sorted(len(x) for x in groups) == sorted(n for t in set(texts) if (n := texts.count(t)) > 1)
+
+
+def test_without_tries_the_result_is_wrong(monkeypatch):
+    head = b"the first thirty bytes of these texts are all the same, "
+    docs = [(i, head[:30] + bytes(f"{i:020d}", "ascii") + head[:8]) for i in range(9)]
+
+    def hits():
+        dealt = [substrings.deal(np.array([i for i, _ in docs]), np.zeros(len(docs), np.int64), [t for _, t in docs], 1)]
+        return sum(len(substrings.judge([blob])) for _, blob in substrings.send(dealt, 1))
+
+    assert hits() == 0
+    monkeypatch.setattr(substrings, "blind_tries", lambda data, view, places, owners, index, bounds, *_: (index, bounds))
+    assert hits() > 0
+
+
+def test_equal_hashes_remove_nothing(monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, bytes(rng.choice(b"abcdefgh ") for _ in range(300))) for i in range(6)]
+    monkeypatch.setattr(substrings, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    for repeated in (None, substrings.Repeated()):
+        dealt = [substrings.deal(np.array([i]), np.zeros(1, np.int64), [t], 3, 0, repeated) for i, t in docs] + [substrings.deal(np.arange(6), np.zeros(6, np.int64), [t for _, t in docs], 3, 0, repeated)]
+        assert not any(len(d.ranges) for d in dealt)
+
+
+def test_a_task_remembers_what_it_has_sent():
+    rng = random.Random(9)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(200))
+    repeated = substrings.Repeated()
+    first = substrings.deal(np.array([5, 6, 7]), np.zeros(3, np.int64), [passage] * 3, 3, 0, repeated)
+    later = substrings.deal(np.array([9, 2]), np.zeros(2, np.int64), [passage] * 2, 3, 0, repeated)
+    assert set(first.ranges["doc_id"]) == {6, 7} and set(later.ranges["doc_id"]) == {9} and set(later.doc_ids[later.rows["doc"]]) == {2}
 
 
 def test_alignment_follows_order():
