@@ -2,8 +2,10 @@
 
 The standard library's parser sends events; they become lines (one a block of text), each with its text-to-tag
 ratio.  The ratios are smoothed with a Gaussian kernel and parted in two clusters; lines of the upper cluster are the
-content regions.  The innermost container that holds most of their text is the article; its lines are the result,
-without those inside elements that are no article by their tag, role, class or id.
+content regions.  Regions decide what the article is: the ``article`` elements that hold regions, if they hold most of
+them together, else the innermost container that does.  Its lines are the result, in page order, without those inside
+elements that are no article by their tag, role, class or id, and without lists of links of which none is a region by
+itself.
 """
 
 from __future__ import annotations
@@ -20,108 +22,158 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 # Elements by what they do to text.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul button select noscript template iframe object svg math canvas video audio head title textarea".split())
-SILENT = frozenset("aside button dialog footer form head header iframe math menu nav noscript object select svg template textarea title canvas video audio".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body button canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main math menu nav noscript object ol optgroup option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio".split()
+)
+SILENT = frozenset("aside audio button canvas dialog footer form head header iframe math menu nav noscript object select svg template textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = frozenset("base head html link meta noscript script style template title".split())
 SILENT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Open elements that a start tag ends, and the elements beyond which it ends nothing.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
+#: Elements that an end tag from inside does not end.
+FENCES = frozenset("article body main td th".split())
+#: Words of classes and ids that say no article, and words that say nothing beside them.  A name counts if each of its words is
+#: one of these and one at least of the first kind: "comments-list" does, "related-work" does not.
 SILENT_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion disclaimer footer header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+PLAIN_NAMES = frozenset("area articles bar block bottom box buttons center col column container content first fixed form global group inner item items last left links list main mobile outer page panel posts primary right row secondary section site slot sticky text thread to top unit wrap wrapper".split())
 #: Kernel of the smoothing, in lines.
 SIGMA = 1.0
-#: Share of the content regions' text that the article's container must hold.
+#: Logarithm of the ratios' quotient from which two clusters are two.
+APART = float(np.log(3.0))
+#: Share of the content regions' text that the article must hold.
 MAJORITY = 0.6
+#: Text of an article element, against the longest one, from which it needs no region of its own.
+PEER = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lines that make a list of links, and the share of their characters inside links.
+LINK_LINES, LINKED = 3, 0.9
+
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
 
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+def says_no_article(value: str) -> bool:
+    """Whether one of the names in a class or id attribute does."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME.findall(name)}
+        if words & SILENT_NAMES and words <= SILENT_NAMES | PLAIN_NAMES:
+            return True
+    return False
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, tags, characters in links, container, silent)."""
+    """Collects lines: (text, tags, characters in links, element).
+
+    Elements are numbered as they open, a parent before its children: ``parent``, ``tag_of``, ``never`` (no article
+    whatever the page) and ``named`` (no article by its form, role, class or id).  End tags that may be left out are put in.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.parent, self.tag_of, self.silent_of = [-1], [""], [False]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.tag_of, self.never, self.named = [-1], [""], [False], [False]
         self.open: list[int] = [0]
         self.raw: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def end_line(self) -> None:
         if self.raw and (text := " ".join("".join(self.raw).split())):
-            at = self.open[-1]
-            self.lines.append((text, self.tags, self.linked, at, self.silent_of[at]))
+            self.lines.append((text, self.tags, self.linked, self.open[-1]))
             self.tags = 0
         self.raw.clear()
         self.linked = 0
 
+    def close_to(self, k: int) -> None:
+        self.end_line()
+        del self.open[k:]
+
+    def end_others(self, tag: str) -> None:
+        """End elements that the start of ``tag`` ends."""
+        ended, fences = ENDS.get(tag, (frozenset(), frozenset()))
+        for k in range(len(self.open) - 1, 0, -1):
+            other = self.tag_of[self.open[k]]
+            if other in ended or other == "head" and tag not in IN_HEAD or other == "p" and tag in BLOCKS:
+                self.close_to(k)
+                if other != "p":
+                    return
+            elif other in fences or other in FENCES or (other in BLOCKS and tag not in ENDS):
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in CONTAINERS:
+        if tag in BLOCKS:
             self.end_line()
+            self.end_others(tag)
         elif tag == "br":
             self.raw.append(" ")
         self.tags += 1
         if tag == "a":
             self.links = 1
-        if tag in CONTAINERS:
-            at = self.open[-1]
-            silent = self.silent_of[at] or tag in SILENT or self.named_silent(tag, attrs)
-            self.parent.append(at)
-            self.tag_of.append(tag)
-            self.silent_of.append(silent)
-            self.open.append(len(self.parent) - 1)
-        elif tag not in VOID and attrs and self.named_silent(tag, attrs):
-            # a plain element that is marked as no article: as a container, up to its end tag
-            self.end_line()
+        if tag in VOID:
+            return
+        never, named = self.judged(tag, attrs)
+        if tag in BLOCKS or never or named:
+            if tag not in BLOCKS:  # a plain element that is marked as no article stands apart, as a block
+                self.end_line()
             self.parent.append(self.open[-1])
             self.tag_of.append(tag)
-            self.silent_of.append(True)
+            self.never.append(never)
+            self.named.append(named)
             self.open.append(len(self.parent) - 1)
 
     @staticmethod
-    def named_silent(tag: str, attrs: list) -> bool:
+    def judged(tag: str, attrs: list) -> tuple[bool, bool]:
+        never, named = tag in SILENT and tag != "form", tag == "form"
         if tag in ("body", "html", "article", "main", "a"):
-            return False
+            return never, named
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in SILENT_ROLES:
-                return True
-            if name in ("class", "id") and value and any(x.lower() in SILENT_NAMES for x in _NAME.findall(value)):
-                return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
+                never = True
+            elif name == "role" and value in SILENT_ROLES or name in ("class", "id") and value and says_no_article(value):
+                named = True
+        return never, named
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in CONTAINERS:
+        if tag in BLOCKS:
             self.end_line()
         self.tags += 1
         if tag == "a":
             self.links = 0
+        if tag in ("body", "html"):
+            return  # what stands behind belongs to the body
         for k in range(len(self.open) - 1, 0, -1):
-            if self.tag_of[self.open[k]] == tag:
-                self.end_line()
-                del self.open[k:]
-                break
-            if self.tag_of[self.open[k]] in ("body", "article", "main"):
-                break  # a stray end tag closes nothing outside
+            other = self.tag_of[self.open[k]]
+            if other == tag:
+                self.close_to(k)
+                return
+            if other in FENCES or tag not in BLOCKS and other in BLOCKS:
+                return
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in CONTAINERS and tag in ("svg", "math", "iframe", "object", "canvas"):
+        if tag in ("svg", "math", "iframe", "object", "canvas"):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.cdata_elem:  # script and style
+        if self.cdata_elem in ("script", "style"):
             return
         self.raw.append(data)
         if self.links:
             self.linked += len(data)
 
-    def error(self, message: str) -> None:
-        raise ValueError(message)
-
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; the edges lean on what there is."""
@@ -132,17 +184,19 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def two_clusters(values: np.ndarray) -> float:
-    """The threshold halfway between the means of the two clusters that it parts."""
-    threshold = float(values.mean())
+    """The threshold halfway between the means of the two clusters that it parts; the least value if the means lie less
+    than ``APART`` apart, as the values are then one cluster."""
+    threshold, apart = float(values.mean()), 0.0
     for _ in range(32):
         high = values > threshold
         if not high.any() or high.all():
             break
-        moved = (values[high].mean() + values[~high].mean()) / 2
+        upper, lower = values[high].mean(), values[~high].mean()
+        apart, moved = upper - lower, (upper + lower) / 2
         if abs(moved - threshold) < 1e-9:
             break
         threshold = float(moved)
-    return threshold
+    return threshold if apart >= APART else float(values.min())
 
 
 def main_text(html: str | None) -> str:
@@ -156,45 +210,67 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    heard = np.array([not x[4] for x in lines])
-    if not heard.any():
-        return ""
+    parent, tag_of, n = parser.parent, parser.tag_of, len(parser.parent)
+    place = np.array([x[3] for x in lines])
+
+    def inherited(own: list[bool]) -> np.ndarray:
+        out = np.array(own)
+        for k in range(1, n):  # an element comes after its parent
+            out[k] |= out[parent[k]]
+        return out
+
+    never = inherited(parser.never)
+    heard = ~(never | inherited(parser.named))[place]
+    if not heard.any():  # a page inside a form, or one whose names mislead
+        heard = ~never[place]
+        if not heard.any():
+            return ""
     sizes = np.array([len(x[0]) for x in lines], float)
-    ratio = smooth(np.where(heard, np.log1p(sizes / np.maximum(1, [x[1] for x in lines])), 0.0))
-    selected = heard & (ratio >= two_clusters(ratio))
+    linked = np.array([x[2] for x in lines]) >= LINKED * sizes
+    own_ratio = np.where(heard, np.log1p(sizes / np.maximum(1, [x[1] for x in lines])), 0.0)
+    ratio = np.zeros(len(lines))
+    ratio[heard] = smooth(own_ratio[heard])
+    threshold = two_clusters(ratio[heard])
+    selected = heard & (ratio >= threshold)
     if not selected.any():
         selected = heard
-    # text of the selected lines under each container
-    weight = np.zeros(len(parser.parent))
-    for i in np.flatnonzero(selected):
-        weight[lines[i][3]] += sizes[i]
-    for k in range(len(weight) - 1, 0, -1):  # a container comes after its parent
-        weight[parser.parent[k]] += weight[k]
+
+    def under(values: np.ndarray) -> np.ndarray:
+        """Sums of lines' values over each element and all that it holds."""
+        out = np.bincount(place, values, n)
+        for k in range(n - 1, 0, -1):
+            out[parent[k]] += out[k]
+        return out
+
+    weight = under(np.where(selected, sizes, 0.0))
+    # lists of links, none of which is a region by itself, are menus
+    other = under((heard & ~(linked & (own_ratio < threshold))).astype(float)) > 0
+    menu = inherited([bool(m >= LINK_LINES and not o) for o, m in zip(other, under(heard.astype(float)), strict=True)])
+    kept = heard & ~menu[place]
+    # articles that hold a region, or that are as long as others are; teasers are not
+    text = under(np.where(kept, sizes, 0.0))
+    article = np.array([t == "article" for t in tag_of])
+    within = inherited(article.tolist())
+    outermost = article & ~np.array([k > 0 and bool(within[parent[k]]) for k in range(n)])
+    outermost &= (weight > 0) | (text >= PEER * max(text[outermost], default=0.0)) & (text > 0)
+    if weight[outermost].sum() >= MAJORITY * weight[0]:
+        inside = inherited(outermost.tolist())
+        return "\n\n".join(lines[i][0] for i in np.flatnonzero(kept & inside[place]))
     home = 0
-    for k in range(1, len(weight)):
-        if parser.parent[k] == home and weight[k] >= MAJORITY * weight[0]:
+    for k in range(1, n):
+        if parent[k] == home and weight[k] >= MAJORITY * weight[0]:
             home = k
-    inside = np.zeros(len(weight), bool)
-    inside[home] = True
-    for k in range(home + 1, len(weight)):
-        inside[k] = inside[parser.parent[k]]
-    # the article is the outermost of its kind around the home, if there is one
-    at = home
-    while at > 0:
-        if parser.tag_of[at] in ("article", "main"):
-            whole = at
-            inside[:] = False
-            inside[whole] = True
-            for k in range(whole + 1, len(weight)):
-                inside[k] = inside[parser.parent[k]]
-            return "\n\n".join(x[0] for x in lines if inside[x[3]] and not x[4])
-        at = parser.parent[at]
-    own = np.flatnonzero([inside[x[3]] for x in lines] & heard)
-    chosen = [i for i in own if selected[i]]
-    if not chosen:
-        return ""
-    # no article element: from the first to the last region, without lines that are mostly links
-    return "\n\n".join(lines[i][0] for i in own if chosen[0] <= i <= chosen[-1] and (lines[i][2] <= 0.5 * sizes[i] or selected[i]))
+    inside = inherited([k == home for k in range(n)])
+    own = np.flatnonzero(kept & inside[place])
+    chosen = np.flatnonzero(selected & inside[place])
+    # no article elements: from the first to the last region, with headings before and plain paragraphs behind, without
+    # lines that are mostly links
+    first, last = int(chosen[0]), int(chosen[-1])
+    while first > 0 and kept[first - 1] and inside[place[first - 1]] and tag_of[place[first - 1]] in HEADINGS:
+        first -= 1
+    while last + 1 < len(lines) and kept[last + 1] and inside[place[last + 1]] and tag_of[place[last + 1]] == "p" and not lines[last + 1][2]:
+        last += 1
+    return "\n\n".join(lines[i][0] for i in own if first <= i <= last and (lines[i][2] <= 0.5 * sizes[i] or selected[i]))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"

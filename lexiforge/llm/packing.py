@@ -9,6 +9,7 @@ bounded size, a second packs what they left open, so that no group's remainder c
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,19 +50,24 @@ class ByteLevelTokenizer:
     """Ids of a byte-level BPE vocabulary, a batch of texts at a time.
 
     Text is split into words by the vocabulary's own splitting rule, done on arrays of character classes; each
-    distinct word is merged once, by the ranks that the vocabulary file gives, and its ids are remembered.  Ids equal
-    those of the ``tokenizers`` library (tested); they come several times faster.
+    distinct word is merged once, by the ranks that the vocabulary file gives, and its ids are remembered together with
+    its characters, with which every later occurrence is compared.  Ids equal those of the ``tokenizers`` library
+    (tested); they come several times faster.  With ``added``, strings that the file lists as added tokens get their own
+    ids, as the library gives them; without, they are ordinary text, as with the library's ``encode_special_tokens``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            loaded = json.load(f)
+        vocabulary = loaded["model"]["vocab"]
+        self.added = {t["content"]: t["id"] for t in loaded["added_tokens"]} if added else {}
+        self.parted = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         shown = byte_alphabet()
         import tiktoken
 
         # Ids of a byte-level vocabulary stand in the order of its merges, so they serve as ranks.
         ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token)}
-        self.encode_word = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.encode_word = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.clear()
 
     def clear(self) -> None:
@@ -70,6 +76,8 @@ class ByteLevelTokenizer:
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.characters, self.written = np.zeros(1 << 16, np.uint32), 0
+        self.spelt, self.letters = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def splits(self, cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where words begin, in order."""
@@ -110,25 +118,51 @@ class ByteLevelTokenizer:
                         starts[q + 1 + tail] = True
         return np.flatnonzero(starts)
 
-    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         got = list(map(self.encode_word, texts))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        used, k = self.used, self.table.count
-        need = used + int(sizes.sum())
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), np.uint32)])
-        if k + len(keys) > len(self.at):
-            more = max(k + len(keys), len(self.at))
-            self.at = np.concatenate([self.at, np.zeros(more, np.int64)])
-            self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
-        self.ids[used:need] = np.fromiter(chain.from_iterable(got), np.uint32, need - used)
-        self.at[k : k + len(keys)] = used + np.cumsum(sizes) - sizes
-        self.size[k : k + len(keys)] = sizes
+        cps, bounds = code_points(texts)
+        k, n = self.table.count, len(keys)
+
+        def room(values: np.ndarray, need: int) -> np.ndarray:
+            return values if need <= len(values) else np.concatenate([values, np.zeros(max(need - len(values), len(values)), values.dtype)])
+
+        for place, many, begin, length, at, flat in (
+            ("used", "ids", "at", "size", np.append(0, np.cumsum(list(map(len, got)))).astype(np.int64), np.fromiter(chain.from_iterable(got), np.uint32)),
+            ("written", "characters", "spelt", "letters", bounds, cps),
+        ):
+            used = getattr(self, place)
+            values, first, size = room(getattr(self, many), used + len(flat)), room(getattr(self, begin), k + n), room(getattr(self, length), k + n)
+            values[used : used + len(flat)] = flat
+            first[k : k + n], size[k : k + n] = used + at[:-1], np.diff(at)
+            for name, v in ((place, used + len(flat)), (many, values), (begin, first), (length, size)):
+                setattr(self, name, v)
         self.table.add(keys)
-        self.used = need
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in one array, and where each text's ids begin (one entry more than texts)."""
+        if self.parted and any(t in text for text in texts for t in self.added):
+            return self.encode_parted(texts)
+        return self.encode_ordinary(texts)
+
+    def encode_parted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode`` where added tokens stand in texts: what lies between them is encoded as texts of its own."""
+        pieces, marks, edges = [], [], [0]
+        for text in texts:
+            at = 0
+            for found in self.parted.finditer(text):
+                pieces.append(text[at : found.start()])
+                marks.append(self.added[found[0]])
+                at = found.end()
+            pieces.append(text[at:])
+            marks.append(-1)  # the text's end
+            edges.append(len(pieces))
+        ids, of = self.encode_ordinary(pieces)
+        marks = np.array(marks)
+        real = marks >= 0
+        out = np.insert(ids, of[1:][real], marks[real].astype(np.uint32))
+        return out, (of + np.append(0, np.cumsum(real)))[edges]
+
+    def encode_ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cps, bounds = code_points(texts)
         if not len(cps):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
@@ -145,18 +179,33 @@ class ByteLevelTokenizer:
             whole = "".join(texts)
             if self.table.count + len(distinct) > 2 * REMEMBERED:  # one chunk of mostly new words
                 self.table = self.table.wider(len(distinct))
-            self.learn(distinct, [whole[a:b].encode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self.learn(distinct, [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
             slot[fresh] = self.table.find(keys[fresh])
-        size = self.size[slot]
+        source, at, size = self.ids, self.at[slot], self.size[slot]
+        if len(other := self.misspelt(slot, cps, start, end)):  # another word of the same hash
+            whole = "".join(texts)
+            own = [self.encode_word(whole[a:b]) for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+            size[other] = list(map(len, own))
+            at[other] = len(source) + np.cumsum(size[other]) - size[other]
+            source = np.concatenate([source, np.fromiter(chain.from_iterable(own), np.uint32)])
         before = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(size, out=before[1:])
-        ids = self.ids[np.repeat(self.at[slot] - before[:-1], size) + np.arange(before[-1])]
+        ids = source[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
         return ids, before[np.searchsorted(start, bounds)]
 
+    def misspelt(self, slot: np.ndarray, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of words whose characters are not those remembered in their slots; words cover all of ``cps``."""
+        length = end - start
+        wrong = self.letters[slot] != length
+        if wrong.any():
+            return np.flatnonzero([a != b or (cps[s:e] != self.characters[p : p + b]).any() for a, b, s, e, p in zip(length, self.letters[slot], start, end, self.spelt[slot], strict=True)])
+        same = self.characters[np.repeat(self.spelt[slot] - start, length) + np.arange(len(cps))] == cps
+        return np.flatnonzero(~np.logical_and.reduceat(same, start))
+
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByteLevelTokenizer:
-    return ByteLevelTokenizer(path)
+def tokenizer(path: str, added: bool) -> ByteLevelTokenizer:
+    return ByteLevelTokenizer(path, added)
 
 
 def default_vocabulary() -> str:
@@ -165,17 +214,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, added: bool = True) -> DataFrame:
     """Every piece of every document: ``doc_id, piece, start, length, ids_crc32``.
 
     A document's ids are those of its text and a closing id 0.  One longer than ``capacity`` is cut into pieces of
-    ``capacity``, of which the first may be shorter.  A null text counts as empty: one piece of length 1.
+    ``capacity``, of which the first may be shorter.  A null text counts as empty: one piece of length 1.  ``added``:
+    the vocabulary's added tokens, spelt out in a text, get their own ids.
     """
     small_batches(docs.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(PIECES))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(vocabulary or default_vocabulary())
+        encoder = tokenizer(vocabulary or default_vocabulary(), added)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []

@@ -22,6 +22,20 @@ def test_token_ids_equal_the_library():
         assert ids[of[i] : of[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_token_ids_with_added_tokens_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_vocabulary())
+    own = packing.ByteLevelTokenizer(packing.default_vocabulary(), added=True)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "", "x<|endoftext|", "plain text", "end <|endoftext|>", " 's<|endoftext|>'s  <|endoftext|>  \n\n<|endoftext|>z"]
+    for _ in range(2):
+        ids, of = own.encode(texts)
+        for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+            assert ids[of[i] : of[i + 1]].tolist() == e.ids, texts[i]
+        own.clear()
+        monkeypatch.setattr(packing, "span_hashes", lambda cps, start, end: (cps[start] % 3).astype(np.uint64) + np.uint64(1))  # equal hashes of different words
+
+
 def test_sum_of_squares_fills_bins():
     lengths = np.random.default_rng(1).integers(1, 2049, 3000)
     bins, offsets = packing.sum_of_squares(lengths, 2048)
@@ -181,6 +195,31 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+LONG = "A sentence of the article that has quite a few words, so that its ratio of text to tags is high. " * 3
+#: Pages by hand, and the text that a reader would call the article.
+GOLD = [
+    ('<article><p>Intro<p class="notice-board-story">Second<p>Third</article>', ["Intro", "Second", "Third"]),
+    (f'<body><div class="related-work"><p>{LONG}</div><div class="related-links"><p>Other page</div>', [LONG]),
+    (f"<body><article><h1>A</h1><p>{LONG}</article><article><h1>B</h1><p>{LONG}</article>", ["A", LONG, "B", LONG]),
+    (f'<body><article><h2>Teaser</h2><p>Read <a href=x>more</a></article><article><h1>T</h1><p>{LONG}<p>{LONG}<p>So.</article>', ["T", LONG, LONG, "So."]),
+    (f'<article><p>{LONG}<div class="comments-list"><article class="comment"><p>{LONG}</article></div><p>End</article>', [LONG, "End"]),
+    (f'<article><p>{LONG}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>End</article>', [LONG, "End"]),
+    (f"<article><ul><li>first<li>second</ul><p>{LONG}<dl><dt>term<dd>meaning</dl></article>", ["first", "second", LONG, "term", "meaning"]),
+    (f"<head><title>t</title><p>{LONG}<table><tr><td>{LONG}<td>{LONG}</table>", [LONG, LONG, LONG]),
+    (f"<body><nav><a href=1>Home</a></nav><h1>Title</h1><p>{LONG}<p>{LONG}<p>Short end.</p><footer>Imprint</footer>", ["Title", LONG, LONG, "Short end."]),
+    (f"<form><div><p>{LONG}</p><p>{LONG}</p></div></form>", [LONG, LONG]),
+    (f"<main><header>Site</header><p>a &lt; b &amp; c&nbsp;d {LONG}</p><aside>x</aside><p hidden>gone</p><p>{LONG}</main>", [f"a < b & c d {LONG}", LONG]),
+    (f"<article><p>{LONG}<span class='ad'>Buy</span></p><p>{LONG}<p>one<br>two</article></div></body></html>", [LONG, LONG, "one two"]),
+    ("<p>", []),
+    ("no markup at all", ["no markup at all"]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(GOLD)))
+def test_gold_pages(k):
+    assert html_text.main_text(GOLD[k][0]) == "\n\n".join(" ".join(x.split()) for x in GOLD[k][1])
+
+
 def test_long_headers_are_read():
     url = "http://a.b/" + "x" * (2 << 20)
     data = warc.gzip_member(warc.page_record(1, url, b"one", None)) + warc.gzip_member(warc.page_record(2, "http://c.d/", b"two", None))

@@ -1,7 +1,9 @@
 """Registered queries on whole small tables, and defined results of odd rows."""
 
 import hashlib
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -174,7 +176,18 @@ def test_leaks(spark):
     assert decontamination.contaminations(odd(spark), none).filter("not contaminated").count() == len(ODD)
 
 
+def article_by_cutting(page):
+    """The blocks between the tags of the one article element, cut out with plain string work."""
+    inside = page.split("<article>")[1].split("</article>")[0]
+    blocks = re.split(r"</?(?:h1|p)>", inside)
+    plain = (" ".join(unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in blocks)
+    return "\n\n".join(b for b in plain if b)
+
+
 def test_pages(spark):
+    got = queries.op10_html_main_text(spark, "/root/testdata/sf0.01").toPandas()
+    want = {r.page_id: article_by_cutting(r.html) for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas().itertuples()}
+    assert dict(zip(got.page_id, got.text, strict=True)) == want
     got = queries.op10_html_main_text(spark, FOLDER).toPandas()
     assert (got.n_chars == got.text.str.len()).all() and (got.n_chars > 0).all()
     rows = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>a")], "page_id long, url string, html string").selectExpr("*", "1 as text")
