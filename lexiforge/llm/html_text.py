@@ -56,7 +56,7 @@ SIGMA = 1.0
 #: Logarithm of the ratios' quotient from which two clusters are two.
 APART = float(np.log(3.0))
 #: Share of the content regions' text that the article must hold.
-MAJORITY = 0.6
+MAJORITY = 0.8
 #: Text of an article element, against the longest one, from which it needs no region of its own.
 PEER = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
