@@ -3,8 +3,8 @@
 One model a language, of order four over lower-case characters with white space folded.  All models share sorted
 arrays of n-gram hashes, one for each order, with a column of log-probabilities and one of back-off weights for every
 language, so one search serves all languages.  A text goes to the language of lowest cross-entropy a character;
-the margin to the second calibrates the score, and texts that fit their language worse than nearly all of its training
-texts are marked rejected.
+the margin to the second calibrates the score, and texts that fit their language worse than nearly all of its texts do
+are marked rejected.  Both are calibrated on training documents that gave no n-grams.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from .common import cut, small_batches
 from .textvec import LETTER, MARK, SPACE, char_classes, chunks, code_points, lower, mix, segment_sums
 
 ORDER = 4
-#: Training documents of each language, at most in expectation: the only bounded sample.
+#: Training documents of each language, at most in expectation: with SAMPLE_CHARS the only bounded sample.
 SAMPLE = 2_000
-#: n-grams of each order and language that the model keeps, the most frequent first.
-MODEL_NGRAMS = 200_000
+#: Characters of a language's training documents, at most in expectation; the model keeps all n-grams of what is drawn.
+SAMPLE_CHARS = 4_000_000
+#: One in so many training documents calibrates score and rejection and gives no n-grams.
+ASIDE = 5
 #: Standard deviations above a language's mean cross-entropy from which a text is rejected.
 REJECT = 4.0
 UNKNOWN = "und"
@@ -69,11 +71,13 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModels:
-    """Sorted hash arrays of all orders with a row of values for each n-gram and a column for each language."""
+    """Sorted hash arrays of all orders, of n-grams and of their contexts, with a row of values for each and a column for
+    each language."""
 
     languages: list[str]
     keys: list[np.ndarray]
     log_p: list[np.ndarray]
+    contexts: list[np.ndarray]
     back_off: list[np.ndarray]
     floor: np.ndarray
     mean: np.ndarray
@@ -81,9 +85,9 @@ class LanguageModels:
     slope: float = 1.0
     offset: float = 0.0
 
-    def find(self, n: int, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash among the n-grams of order n + 1, -1 where it is unknown."""
-        keys = self.keys[n]
+    @staticmethod
+    def find(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash among sorted ``keys``, -1 where it is unknown."""
         if not len(keys):
             return np.full(len(hashes), -1)
         at = np.searchsorted(keys, hashes)
@@ -96,7 +100,7 @@ class LanguageModels:
         out = np.zeros((len(grams[0]), len(self.languages)), np.float32)
         left = np.arange(len(grams[0]))
         for n in range(ORDER - 1, -1, -1):
-            row = self.find(n, grams[n][left])
+            row = self.find(self.keys[n], grams[n][left])
             hit = row >= 0
             out[left[hit]] += self.log_p[n][row[hit]]
             left = left[~hit]
@@ -104,9 +108,9 @@ class LanguageModels:
                 return out
             if n:  # back off: the weight of the context, which is the (n)-gram that ends a character earlier
                 context = np.where(left > 0, grams[n - 1][left - 1], 0)
-                row = self.find(n - 1, context)
+                row = self.find(self.contexts[n], context)
                 known = row >= 0
-                out[left[known]] += self.back_off[n - 1][row[known]]
+                out[left[known]] += self.back_off[n][row[known]]
         out[left] += self.floor
         return out
 
@@ -135,7 +139,7 @@ def build(counts: pd.DataFrame, languages: list[str]) -> LanguageModels:
     the hash without the last character, ``suffix`` that without the first.
     """
     k = len(languages)
-    keys, log_p, back_off = [], [], []
+    keys, log_p, contexts, back_off = [], [], [], []
     floor = np.full(k, -np.log(4096.0))
     lower_p: tuple[np.ndarray, np.ndarray] | None = None
     tables = {n: g for n, g in counts.groupby("n")}
@@ -167,6 +171,7 @@ def build(counts: pd.DataFrame, languages: list[str]) -> LanguageModels:
         weight = np.where(total > 0, discount * followers / np.maximum(total, 1), 1.0)
         if n == 0:
             lower_value = np.exp(floor)[None, :]
+            unseen = floor + np.log(weight[0]) if len(weight) else floor  # a character that no text holds
         else:
             below, value = lower_p
             where = np.searchsorted(below, suffix)
@@ -176,14 +181,28 @@ def build(counts: pd.DataFrame, languages: list[str]) -> LanguageModels:
         p = np.maximum(times - discount, 0) / np.maximum(total[group], 1) + weight[group] * lower_value
         keys.append(gram)
         log_p.append(np.log(np.maximum(p, 1e-12)).astype(np.float32))
-        back_off.append(np.zeros((len(gram), k), np.float32))
-        if n:  # the context's weight belongs to the n-gram one shorter
-            where = np.searchsorted(keys[n - 1], kinds_of)
-            where[where == len(keys[n - 1])] = 0
-            ok = keys[n - 1][where] == kinds_of
-            back_off[n - 1][where[ok]] = np.log(weight[ok])
+        contexts.append(kinds_of)
+        back_off.append(np.log(weight).astype(np.float32))
         lower_p = gram, p
-    return LanguageModels(languages, keys, log_p, back_off, floor.astype(np.float32), np.zeros(k), np.ones(k))
+    return LanguageModels(languages, keys, log_p, contexts, back_off, unseen.astype(np.float32), np.zeros(k), np.ones(k))
+
+
+def count_ngrams(texts: list[str], language: np.ndarray) -> pd.DataFrame:
+    """``n, gram, context, suffix, language, count`` of the n-grams of texts; ``n`` is the order less one."""
+    grams, bounds, _ = ngrams(texts)
+    of = np.repeat(language, np.diff(bounds)).astype(np.uint64)
+    begins = np.zeros(len(of), bool)
+    begins[bounds[:-1]] = True
+    usable = np.flatnonzero(~begins)
+    out = []
+    for n in range(ORDER):
+        h = grams[n][usable]
+        _, first, times = np.unique(h ^ mix(of[usable] + np.uint64(77)), return_index=True, return_counts=True)
+        at = usable[first]
+        context = grams[n - 1][at - 1] if n else np.zeros(len(at), np.uint64)
+        suffix = grams[n - 1][at] if n else np.zeros(len(at), np.uint64)
+        out.append(pd.DataFrame({"n": np.full(len(at), n, np.int32), "gram": grams[n][at], "context": context, "suffix": suffix, "language": of[at].astype(np.int32), "count": times.astype(np.int64)}))
+    return pd.concat(out, ignore_index=True)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModels:
@@ -191,45 +210,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Null ids, texts and languages are left out.  Without any row the model knows no language.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: (r.n, r.chars or 0) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).collect()}
     languages = sorted(counts)
     if not languages:
-        return LanguageModels([], [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER, [np.zeros((0, 0))] * ORDER, np.zeros(0), np.zeros(0), np.ones(0))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / counts[k])))])
+        return LanguageModels([], *([np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER) * 2, np.zeros(0), np.zeros(0), np.ones(0))
+    share = F.create_map(*[x for k, (n, chars) in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n, SAMPLE_CHARS / max(1, chars))))])
     place = (F.xxhash64(F.lit(1), "doc_id") / F.lit(2.0**64)) + 0.5
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    train = cut(rows.filter((place <= share[F.col("lang")]) & F.col("text").isNotNull()).select("text", number[F.col("lang")].alias("language")), "langid-sample")
+    aside = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(ASIDE)) == 0
+    train = cut(rows.filter((place <= share[F.col("lang")]) & F.col("text").isNotNull()).select("text", number[F.col("lang")].alias("language"), aside.alias("aside")), "langid-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, language = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for part in chunks([len(t) for t in texts], CHUNK):
-                grams, bounds, _ = ngrams(texts[part])
-                of = np.repeat(language[part], np.diff(bounds)).astype(np.uint64)
-                begins = np.zeros(len(of), bool)
-                begins[bounds[:-1]] = True
-                usable = np.flatnonzero(~begins)
-                for n in range(ORDER):
-                    h = grams[n][usable]
-                    key, first, times = np.unique(h ^ mix(of[usable] + np.uint64(77)), return_index=True, return_counts=True)
-                    at = usable[first]
-                    context = grams[n - 1][at - 1] if n else np.zeros(len(at), np.uint64)
-                    suffix = grams[n - 1][at] if n else np.zeros(len(at), np.uint64)
-                    columns = [np.full(len(at), n, np.int32), grams[n][at].view(np.int64), context.view(np.int64), suffix.view(np.int64), of[at].astype(np.int32), times]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "gram", "context", "suffix", "language", "count"])
+                table = count_ngrams(texts[part], language[part])
+                for c in ("gram", "context", "suffix"):
+                    table[c] = table[c].to_numpy().view(np.int64)
+                yield pa.RecordBatch.from_pandas(table, preserve_index=False)
 
     keys = ["n", "gram", "context", "suffix", "language"]
-    grams = train.mapInArrow(count, "n int, gram long, context long, suffix long, language int, count long").groupBy(*keys).agg(F.sum("count").alias("count"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("n", "language").orderBy(F.desc("count"), "gram"))
-    table = grams.withColumn("rank", rank).filter(F.col("rank") <= MODEL_NGRAMS).drop("rank").toPandas()  # bounded: ORDER * languages * MODEL_NGRAMS
+    grams = train.filter("not aside").mapInArrow(count, "n int, gram long, context long, suffix long, language int, count long").groupBy(*keys).agg(F.sum("count").alias("count"))
+    table = grams.toArrow().to_pandas()  # the n-grams of the sample: bounded by ORDER * languages * SAMPLE_CHARS
     for c in ("gram", "context", "suffix"):
         table[c] = table[c].to_numpy(np.int64).view(np.uint64)
     model = build(table, languages)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +250,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ok = letters > 0
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (best.astype(np.int32), margin, right, entropy[np.arange(len(best)), best], sizes)], ["best", "margin", "correct", "entropy", "size"])
 
-    seen = train.mapInArrow(judge, "best int, margin double, correct boolean, entropy double, size long").toPandas()  # as many rows as the sample
+    seen = train.filter("aside").mapInArrow(judge, "best int, margin double, correct boolean, entropy double, size long").toArrow().to_pandas()  # a part of the sample
     if len(seen):
         from .toxicity import fit_logistic
 
@@ -263,7 +272,7 @@ def predict(docs: DataFrame, model: LanguageModels, id_col: str = "doc_id", text
     rejected; a null id is kept with held_out false; repeated rows are judged once each; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ORDER * languages * MODEL_NGRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of the sample
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

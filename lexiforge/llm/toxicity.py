@@ -1,11 +1,12 @@
-"""Toxicity by maximum-scoring segments over token log-odds.
-
-A token's weight is its log-odds between toxic and clean labelled documents under an informative Dirichlet prior
-(the words' shares in both classes together), less a drift; words whose log-odds are not significant weigh the drift
-alone.  One linear pass (Ruzzo and Tompa) finds all maximal scoring segments of a text.  Segment scores are judged
-by extreme-value statistics (Karlin and Altschul): with lambda solved from the clean word distribution and K fitted on
-clean documents, a segment's chance under a clean text of the same length follows.  The evidence of all
-significant segments adds up to the document's score through a logistic curve fitted on the same labelled sample.
+"""Toxicity by maximum-scoring segment search over token log-odds.
+
+A token's weight is its log-odds between toxic and clean labelled documents under a Dirichlet prior that gives every
+word the same pseudo-documents, shared out as the classes are; rare words stay near zero, and words may lean either way.
+One linear pass (Ruzzo and Tompa) over all tokens of a text finds all maximal scoring segments.  Segment scores are
+judged by extreme-value statistics (Karlin and Altschul): lambda is first solved from the distribution of clean tokens,
+then lambda and K are fitted to the largest segment scores of clean documents that did not give the weights.  The
+evidence of all significant segments adds up to the document's score through a logistic curve, fitted on the same
+documents' scores: each labelled document is judged by weights from the other folds.
 """
 
 from __future__ import annotations
@@ -26,18 +27,14 @@ from .textvec import chunks, words
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation: the only bounded sample.
 SAMPLE = 20_000
-#: Words with significant weights that the model keeps, the most significant first.
-MODEL_WORDS = 200_000
-#: Prior strength as a share of the documents' word count.
-PRIOR = 0.1
-#: Standard deviations from which a word's log-odds count.
-SIGNIFICANT = 3.0
-#: Log-odds from which a word counts: about seven times as likely in toxic documents.
-LEAST_WEIGHT = 2.0
-#: Words that a text counts as at least, so that one word of a very short text is no proof.
-LEAST_WORDS = 200
+#: Pseudo-documents that the prior gives every word, in both classes together.
+PRIOR = 2.0
+#: Standard deviations that shrink a word's log-odds to nothing.
+SHRINK = 2.0
 #: What each word subtracts, so that chance segments stay short.
 DRIFT = 0.05
+#: Parts of the sample, each of which is judged by weights from the others.
+FOLDS = 4
 #: Chance at or below which a segment is a toxic passage.
 PASSAGE_CHANCE = 0.01
 CHUNK = 1_500_000
@@ -55,7 +52,7 @@ class ToxicityModel:
     offset: float = -2.0
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        """Weight of each word; 0 where it has none beside the drift."""
+        """Weight of each word; 0 for one that no labelled document holds."""
         if not len(self.keys):
             return np.zeros(len(hashes))
         at = np.searchsorted(self.keys, hashes)
@@ -64,7 +61,7 @@ class ToxicityModel:
 
     def chance(self, score: float, n: int) -> float:
         """Expected number of clean segments that score as much in a text of n words."""
-        return self.k * max(n, LEAST_WORDS) * math.exp(-self.lam * score)
+        return self.k * max(n, 1) * math.exp(-self.lam * score)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Sum of -ln(chance) over segments whose chance is below 1."""
@@ -74,21 +71,18 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * math.log1p(evidence) + self.offset))))
 
 
-def maximal_segments(positions: np.ndarray, weights: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score), by the linear-time scan.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first token, last token, score), by the linear-time scan.
 
-    The text is given by its weighted words alone; every word between them scores ``-drift``, so a segment begins and
-    ends at a weighted word and the scan takes one step for each of those.
+    A segment begins and ends with a run of positive scores, so the scan takes one step for each of those.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, cumulative score before first, and up to last
-    total, last = 0.0, -1
-    for p, w in zip(positions.tolist(), weights.tolist(), strict=True):
-        total -= drift * (p - last - 1)
-        last, before = p, total
-        total += w - drift
-        if w <= drift:
-            continue
-        first, left, right = p, before, total
+    good = np.zeros(len(scores) + 2, np.int8)
+    good[1:-1] = scores > 0
+    edge = np.diff(good)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before first, and up to the end
+    for first, stop, left, right in zip(begin.tolist(), end.tolist(), total[begin].tolist(), total[end].tolist(), strict=True):
         while stack:
             # nearest earlier segment that begins lower; those above it on the stack cannot be extended
             k = len(stack) - 1
@@ -98,37 +92,37 @@ def maximal_segments(positions: np.ndarray, weights: np.ndarray, drift: float =
                 break
             first, left = stack[k][0], stack[k][2]
             del stack[k:]
-        stack.append((first, p, left, right))
-    return [(a, b, r - l) for a, b, l, r in stack]
+        stack.append((first, stop, left, right))
+    return [(a, b - 1, r - l) for a, b, l, r in stack]
 
 
 def text_segments(model: ToxicityModel, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray, np.ndarray]]:
     """For each text its word count, segments, and the words' first and last code points."""
     for part in chunks([len(t) for t in texts], CHUNK):
         hashes, of, start, end = words(texts[part])
-        weight = model.weigh(hashes)
-        found = np.flatnonzero(weight)
-        at = np.searchsorted(found, of)
+        scores = model.weigh(hashes) - DRIFT
         for i in range(len(of) - 1):
-            own = found[at[i] : at[i + 1]]
             spots = slice(of[i], of[i + 1])
-            yield int(of[i + 1] - of[i]), maximal_segments(own - of[i], weight[own]) if len(own) else [], start[spots], end[spots]
+            yield int(of[i + 1] - of[i]), maximal_segments(scores[spots]), start[spots], end[spots]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of words by class under the informative Dirichlet prior, and their z-scores."""
-    strength = PRIOR * (n_toxic + n_clean)
-    prior = strength * (toxic + clean) / max(1, n_toxic + n_clean)
-    a, b = toxic + prior, clean + prior
-    delta = np.log(a / (n_toxic + strength - a)) - np.log(b / (n_clean + strength - b))
-    return delta, delta / np.sqrt(1 / a + 1 / b)
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-odds of words between the classes, from the documents of each class that hold them, under the Dirichlet prior.
+
+    Each is shrunk by its own uncertainty, by the positive part of 1 - (SHRINK / z) ** 2 with z its number of standard
+    deviations, whichever way it leans.
+    """
+    share = n_toxic / (n_toxic + n_clean)
+    a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
+    delta = np.log(a / (n_toxic + PRIOR * share)) - np.log(b / (n_clean + PRIOR * (1 - share)))
+    return delta * np.maximum(0.0, 1 - SHRINK**2 * (1 / a + 1 / b) / np.maximum(delta * delta, 1e-12))
 
 
 def solve_lambda(shares: np.ndarray, scores: np.ndarray) -> float:
-    """The positive root of sum(share * exp(lambda * score)) = 1, by bisection."""
-    f = lambda x: float(shares @ np.exp(np.minimum(x * scores, 700))) - 1
-    if scores.max(initial=0) <= 0:
+    """The positive root of sum(share * exp(lambda * score)) = 1, by bisection; 1 if there is none."""
+    if not len(scores) or scores.max() <= 0 or shares @ scores >= 0:
         return 1.0
+    f = lambda x: float(shares @ np.exp(np.minimum(x * scores, 700))) - 1
     low, high = 0.0, 1.0
     while f(high) < 0 and high < 64:
         high *= 2
@@ -138,6 +132,28 @@ def solve_lambda(shares: np.ndarray, scores: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
+def fit_extremes(largest: np.ndarray, sizes: np.ndarray, lam: float) -> tuple[float, float]:
+    """Lambda and K by maximum likelihood from the largest segment scores of clean texts of ``sizes`` words.
+
+    The largest score of n words is at most x with chance exp(-K n exp(-lambda x)).  ``lam`` is the start: lambda is
+    looked for within a factor of 16.
+    """
+    known = sizes > 0
+    x, n = largest[known], sizes[known].astype(float)
+    if not len(x):
+        return lam, 1.0
+
+    def slope(value: float) -> float:
+        weight = n * np.exp(-value * (x - x.min()))
+        return 1 / value - x.mean() + float(weight @ x) / float(weight.sum())
+
+    low, high = lam / 16, lam * 16
+    for _ in range(60):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return high, len(x) / float((n * np.exp(-high * x)).sum())
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps with a weak ridge."""
     slope, offset, ridge = 0.0, 0.0, 1e-2
@@ -152,7 +168,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, text, toxic`` of labelled training rows; about ``sample`` of each class at most, chosen by a hash of the id."""
+    """``fold, text, toxic`` of labelled training rows; about ``sample`` of each class at most, chosen by a hash of the id."""
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
@@ -164,7 +180,32 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     place = (F.xxhash64(F.lit(8), "doc_id") / F.lit(2.0**64)) + 0.5
     chosen = rows.filter(place <= share[F.col("toxic")])  # about 2 * sample ids: bounded
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
+    fold = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(FOLDS)).cast("int")
+    return texts.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select(fold.alias("fold"), "text", "toxic")
+
+
+def count_words(texts: list[str], toxic: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``word, fold``, documents of each class that hold the word, and its occurrences in clean ones."""
+    hashes, of, *_ = words(texts)
+    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    order = np.lexsort((hashes, fold[doc]))
+    h, d = hashes[order], doc[order]
+    if not len(h):
+        return h, fold[:0], *(np.zeros(0, np.int64),) * 3
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (fold[d[1:]] != fold[d[:-1]])
+    group = np.cumsum(new) - 1
+    first = np.ones(len(h), bool)  # each word once a document, however often it is said
+    first[1:] = new[1:] | (d[1:] != d[:-1])  # the sort is stable: a document's occurrences stand together
+    n = int(group[-1]) + 1
+    bad = toxic[d]
+    return h[new], fold[d[new]], np.bincount(group, first * bad, n).astype(np.int64), np.bincount(group, first * (1 - bad), n).astype(np.int64), np.bincount(group, 1 - bad, n).astype(np.int64)
+
+
+def weights_of(toxic: np.ndarray, clean: np.ndarray, said: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, float]:
+    """Weights of words and the lambda of clean tokens."""
+    weights = log_odds(toxic, clean, n_toxic, n_clean)
+    return weights, solve_lambda(said / max(1, said.sum()), weights - DRIFT)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -172,54 +213,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
 
     Without rows of both classes the model has no weights and calls every text clean.
     """
+    spark = docs.sparkSession
     train = cut(training_sample(docs, labels, sample), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            fold, texts, toxic = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for part in chunks([len(t) for t in texts], CHUNK):
-                hashes, of, *_ = words(texts[part])
-                doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                order = np.lexsort((hashes, doc))
-                h, d = hashes[order], doc[order]
-                new = np.ones(len(h), bool)  # each word once a document, however often it is said
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                key, back = np.unique(h[new], return_inverse=True)
-                bad = np.bincount(back, toxic[part][d[new]], len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bad), pa.array(np.bincount(back, minlength=len(key)) - bad)], ["word", "toxic", "clean"])
-
-    counts = cut(train.select("text", "toxic").mapInArrow(count, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
-    n_toxic, n_clean, kinds = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
+                word, own, *counts = count_words(texts[part], toxic[part], fold[part])
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(own.astype(np.int32)), *map(pa.array, counts)], ["word", "fold", "toxic", "clean", "said"])
+
+    sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "said")]
+    counts = train.mapInArrow(count, "word long, fold int, toxic long, clean long, said long").groupBy("word", "fold").agg(*sums).toArrow()  # the words of the sample: bounded
+    sizes = np.zeros((FOLDS, 2), np.int64)
+    for r in train.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
+        sizes[r.fold, r.toxic] = r.n
     model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
-    if not n_toxic or not n_clean:
+    if not sizes.sum(axis=0).all():
         model.slope, model.offset = 0.0, -5.0
         return model
-    # A word takes at least a few documents to be significant; of those the most frequent are kept.
-    heavy = counts.filter(F.col("toxic") + F.col("clean") >= 3).orderBy(F.desc(F.col("toxic") / n_toxic - F.col("clean") / n_clean), "word").limit(MODEL_WORDS).toPandas()
-    bad, good = heavy["toxic"].to_numpy(float), heavy["clean"].to_numpy(float)
-    delta, z = log_odds(bad, good, n_toxic, n_clean)
-    kept = np.abs(z) >= SIGNIFICANT
-    kept &= delta >= LEAST_WEIGHT
-    keys, weight = heavy["word"].to_numpy(np.int64).view(np.uint64)[kept], delta[kept]
-    order = np.argsort(keys)
-    model.keys, model.weights = keys[order], weight[order]
-    # Share of each weight in clean text; a word unseen there keeps half an occurrence.
-    shares = (good[kept] + 0.5)[order] / (n_clean + 0.5 * kept.sum())
-    model.lam = solve_lambda(np.append(shares, 1 - shares.sum()), np.append(model.weights - DRIFT, -DRIFT))
+    model.keys, at = np.unique(counts["word"].to_numpy().view(np.uint64), return_inverse=True)
+    by_fold = np.zeros((3, FOLDS, len(model.keys)), np.int64)
+    for k, c in enumerate(("toxic", "clean", "said")):
+        by_fold[k, counts["fold"].to_numpy(), at] = counts[c].to_numpy()
+    model.weights, lam = weights_of(*by_fold.sum(axis=1), *(int(n) for n in sizes.sum(axis=0)[::-1]))
+    # each fold is judged by weights from the others
+    others = [weights_of(*(by_fold.sum(axis=1) - by_fold[:, f]), *(max(1, int(n)) for n in (sizes.sum(axis=0) - sizes[f])[::-1]))[0] for f in range(FOLDS)]
+    shared = spark.sparkContext.broadcast((model.keys, others))
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights = shared.value
         for batch in batches:
-            rows = [(t, n, [s for _, _, s in seg]) for t, (n, seg, *_) in zip(batch.column(1).to_pylist(), text_segments(model, batch.column(0).to_pylist()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    seen = train.select("text", "toxic").mapInArrow(top, "toxic int, n long, scores array<double>").toPandas()  # as many rows as the sample
-    clean = seen[seen["toxic"] == 0]
-    # K from the number of clean segments: each scores the least weight or more.
-    least = float(model.weights.min(initial=1.0)) - DRIFT
-    found = sum(map(len, clean["scores"]))
-    model.k = (found + 1) / (max(1, int(clean["n"].clip(lower=LEAST_WORDS).sum())) * math.exp(-min(50.0, model.lam * least)))
-    x = np.array([math.log1p(model.evidence([(0, 0, v) for v in s], n)) for s, n in zip(seen["scores"], seen["n"], strict=True)])
-    model.slope, model.offset = fit_logistic(x, seen["toxic"].to_numpy(float))
+            for f in np.unique(batch.column(0).to_numpy()):
+                own = batch.filter(pa.array(batch.column(0).to_numpy() == f))
+                rows = [(n, [s for _, _, s in seg]) for n, seg, *_ in text_segments(ToxicityModel(keys, weights[f]), own.column(1).to_pylist())]
+                best = pa.array([max(s, default=0.0) for _, s in rows], pa.float64())
+                yield pa.RecordBatch.from_arrays([own.column(2), pa.array([n for n, _ in rows], pa.int64()), best, pa.array([s for _, s in rows], pa.list_(pa.float64()))], ["toxic", "n", "best", "scores"])
+
+    seen = cut(train.mapInArrow(top, "toxic int, n long, best double, scores array<double>"), "toxicity-scores")
+    clean = seen.filter("toxic = 0").select("n", "best").toArrow()  # as many rows as the sample
+    model.lam, model.k = fit_extremes(clean["best"].to_numpy(), clean["n"].to_numpy(), lam)
+    evidence = F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), F.lit(model.lam) * s - F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))))
+    x = seen.select("toxic", evidence.alias("evidence")).toArrow()
+    model.slope, model.offset = fit_logistic(np.log1p(x["evidence"].to_numpy()), x["toxic"].to_numpy().astype(float))
     return model
 
 
@@ -234,7 +270,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MODEL_WORDS weights
+    shared = spark.sparkContext.broadcast(model)  # the words of the sample
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from lexiforge.llm import decontamination, html_text, minhash, packing, sharding, substrings, toxicity, warc
+from lexiforge.llm import decontamination, html_text, langid, minhash, packing, sharding, substrings, toxicity, warc
+from lexiforge.llm.textvec import hash_word
 
 
 def test_token_ids_equal_the_library():
@@ -149,20 +150,92 @@ def test_alignment_follows_order():
 
 def test_maximal_segments_against_definition():
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(300):
         n = rng.randrange(1, 30)
-        weights = {p: rng.choice([1.0, 2.0, -1.0]) for p in range(n) if rng.random() < 0.5}
-        scores = [weights.get(p, 0.0) - 0.25 for p in range(n)]
+        scores = np.array([rng.uniform(-1, 1) for _ in range(n)])
 
         def best(a, b, scores=scores):  # recursively: the best segment, then what is left and right of it
             if a >= b:
                 return []
-            s, i, j = max(((sum(scores[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), key=lambda x: (round(x[0], 9), x[1] - x[2]))
+            s, i, j = max((scores[i:j].sum(), i, j) for i in range(a, b) for j in range(i + 1, b + 1))
             return [] if s <= 0 else [*best(a, i), (i, j - 1, round(s, 6)), *best(j, b)]
 
-        at = np.array(sorted(weights))
-        got = toxicity.maximal_segments(at, np.array([weights[p] for p in at]) if len(at) else np.zeros(0), 0.25)
-        assert round(sum(s for *_, s in got), 6) == round(sum(s for *_, s in best(0, n)), 6)
+        assert [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(scores)] == best(0, n)
+    assert toxicity.maximal_segments(np.zeros(0)) == toxicity.maximal_segments(np.full(3, -1.0)) == []
+
+
+def test_extremes_are_found_again():
+    rng = np.random.default_rng(4)
+    n = rng.integers(20, 900, 20_000)
+    largest = (np.log(0.03 * n) - np.log(-np.log(rng.uniform(size=len(n))))) / 1.7
+    lam, k = toxicity.fit_extremes(largest, n, 1.0)
+    assert lam == pytest.approx(1.7, rel=0.03) and k == pytest.approx(0.03, rel=0.1)
+
+
+def test_lambda_balances_scores():
+    scores, shares = np.array([2.0, -1.0, -0.5]), np.array([0.1, 0.5, 0.4])
+    lam = toxicity.solve_lambda(shares, scores)
+    assert lam > 0 and shares @ np.exp(lam * scores) == pytest.approx(1)
+
+
+def test_word_counts_by_hand():
+    texts = ["a b a", "b c", "a", "", "b b"]
+    toxic, fold = np.array([1, 0, 0, 1, 0]), np.array([0, 0, 1, 1, 1], np.int32)
+    name = {hash_word(w): w for w in "abc"}
+    got = {(name[int(w)], int(f)): (int(x), int(y), int(z)) for w, f, x, y, z in zip(*toxicity.count_words(texts, toxic, fold), strict=True)}
+    assert got == {("a", 0): (1, 0, 0), ("b", 0): (1, 1, 1), ("c", 0): (0, 1, 1), ("a", 1): (0, 1, 1), ("b", 1): (0, 1, 2)}
+    assert all(len(c) == 0 for c in toxicity.count_words(["", ""], np.zeros(2, int), np.zeros(2, np.int32)))
+
+
+def test_log_odds_lean_both_ways_and_shrink():
+    got = toxicity.log_odds(np.array([60, 0, 1, 50]), np.array([0, 60, 0, 500]), 100, 1000)
+    assert got[0] > 3 and got[2] == 0 and abs(got[3]) < 0.01 and got[1] <= 0
+
+
+def kneser_ney(texts, order):
+    """Interpolated Kneser-Ney over strings: a function from n-gram to probability, by the textbook's recursion."""
+    counts = [{} for _ in range(order + 1)]
+    for text in texts:
+        chars = "\0" * (order - 1) + " " + " ".join(text.lower().split(" "))
+        for i in range(order, len(chars)):
+            g = chars[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for g in {g[-(n + 1) :] for g in counts[order]}:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discount, total, kinds = [0] * (order + 1), [{} for _ in range(order + 1)], [{} for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        for g, c in counts[n].items():
+            total[n][g[:-1]] = total[n].get(g[:-1], 0) + c
+            kinds[n][g[:-1]] = kinds[n].get(g[:-1], 0) + 1
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / 4096
+        if g[:-1] not in total[n]:
+            return p(g[1:])
+        t = total[n][g[:-1]]
+        return max(counts[n].get(g, 0) - discount[n], 0) / t + discount[n] * kinds[n][g[:-1]] / t * p(g[1:])
+
+    return p
+
+
+def test_language_model_against_the_recursion():
+    own = {0: ["the cat sat on the mat", "a cat and a rat", "the hat"], 1: ["der hund und die katze", "das ist der hut"]}
+    counts = langid.count_ngrams([t for v in own.values() for t in v], np.array([k for k, v in own.items() for _ in v]))
+    counts = counts.groupby(["n", "gram", "context", "suffix", "language"], as_index=False)["count"].sum()
+    model = langid.build(counts, ["en", "de"])
+    for text in ("the cat", "die hat sat", "zq", "a"):
+        grams, bounds, _ = langid.ngrams([text])
+        got = model.log_probabilities(grams)[1:]
+        for lang, texts in own.items():
+            p = kneser_ney(texts, langid.ORDER)
+            chars = "\0" * (langid.ORDER - 1) + " " + text
+            want = [np.log(p(chars[i - langid.ORDER + 1 : i + 1])) for i in range(langid.ORDER, len(chars))]
+            assert got[:, lang] == pytest.approx(want, abs=1e-4), (text, lang)
 
 
 def test_wand_finds_all_above_threshold():
