@@ -26,10 +26,32 @@ THEME_KEYWORDS = {
 # Fixed value: namespace of chunk ids.
 CHUNK_NAMESPACE = "6fae14c2-9e8a-4b0b-9b9b-2b0d0b1a6c01"
 
-#: Sentences that begin so are captions or matter outside the text.
+# Beginnings of sentences that are captions or matter outside the text.
 CAPTIONS = ("figure", "table", "abstract", "fig. ", "tab. ", "algorithm ", "acknowledg", "references")
 
 
+# Beginnings of lines that a model adds around its answer, and what stands at the end of a text cut short.
+NOISE_LINES = ("sources", "[/", "[/inst", "assistant")
+CUT_MARK = " [...]"
+
+# Display names of metrics, those shown in percent, and those where less is better.
+METRIC_NAMES = {
+    "recall_at_3": "Recall@3", "recall_at_5": "Recall@5", "recall_at_10": "Recall@10", "mrr": "MRR", "faithfulness": "Faithfulness",
+    "citation_accuracy": "Citation Accuracy", "avg_latency_ms": "Average Latency", "p95_latency_ms": "P95 Latency",
+}
+COSTS = ("avg_latency_ms", "p95_latency_ms")
+
+#: White space, also beyond ASCII and with the separators U+001C to U+001F.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
+def double_encoded() -> str:
+    """Pattern of UTF-8 that was read as Windows-1252: a lead byte's character and those of its continuation bytes, for
+    the leads that Western text has, and the replacement character."""
+    leads = {0xC2: 1, 0xC3: 1, 0xE2: 2}
+    return "|".join(["\ufffd", *(f"{chr(lead)}[\x80-\xbf]{{{n}}}" for lead, n in leads.items())])
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once, also where ``use`` refers to it inside a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -37,11 +59,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all white space, also beyond ASCII."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def collapse_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def normal_form(text: Column) -> Column:
@@ -132,9 +154,11 @@ def version_key(raw: Column) -> Column:
 
 
 def distinct_names(names: Column) -> Column:
-    """Names without repetitions in other case, in order of first appearance."""
+    """Names without repetitions in other case, in order of first appearance: sorted by name, heads of runs, sorted back."""
     clean = F.filter(F.transform(names, collapse_space), lambda n: n != "")
-    return F.aggregate(clean, F.array().cast("array<string>"), lambda seen, n: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(n)), seen).otherwise(F.concat(seen, F.array(n))))
+    keyed = F.array_sort(F.transform(clean, lambda n, k: F.struct(F.lower(n).alias("key"), k.alias("place"), n.alias("name"))))
+    heads = let(keyed, lambda s: F.filter(s, lambda x, k: (k == 0) | (x["key"] != F.get(s, k - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(heads, lambda x: F.struct(x["place"], x["name"]))), lambda x: x["name"])
 
 
 def keyword_hits(title: Column, theme: str) -> Column:
@@ -169,18 +193,51 @@ def valid_citations(text: Column, most: int | Column) -> Column:
 
 
 def source_lines(text: Column) -> Column:
-    """Trimmed lines of the block behind a ``Sources:`` line."""
-    block = F.regexp_extract(text, r"(?is)(?:^|\n)\s*sources\s*:\s*(.*)$", 1)
-    return F.filter(F.transform(F.split(block, "\n"), strip), lambda s: s != "")
+    """Map from the number of each ``[N] ...`` line behind a line that begins with "sources" to that line's text; the last
+    of a number's lines counts."""
+    block = F.regexp_extract(text, r"(?isU)(?:^|\n)\s*sources[^\n]*\n(.*)$", 1)
+    rows = F.filter(F.transform(F.split(block, "\n"), strip), lambda s: s.rlike(r"(?U)^\[\d+\]\s+.+$"))
+    pairs = F.transform(rows, lambda s: F.struct(F.regexp_extract(s, r"^\[(\d+)\]", 1).cast("int").alias("n"), F.regexp_extract(s, r"(?U)^\[\d+\]\s+(.+)$", 1).alias("line")))
+    last = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))
+    return F.map_from_entries(last)
+
+
+def clean_answer(raw: Column) -> Column:
+    """A model's answer without the lines that it adds around it."""
+    noise = lambda line: F.exists(F.array(*map(F.lit, NOISE_LINES)), lambda head: F.startswith(strip(F.lower(line)), head))
+    return strip(F.array_join(F.filter(F.split(raw, "\r\n|\r|\n"), lambda line: ~noise(line)), "\n"))
+
+
+def source_block(number: Column, document: Column, first: Column, last: Column, text: Column, most: int = 1200) -> Column:
+    """One source of a prompt: its number, document, pages and text, cut at ``most`` characters."""
+    shown = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(CUT_MARK))).otherwise(text)
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), document, F.lit(" p."), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(":\n"), shown)
+
+
+def prompt_question(prompt: Column) -> Column:
+    """The line behind ``Question:`` of a prompt; "this question" without one."""
+    found = strip(F.regexp_extract(prompt, r"(?mU)^Question:\s*(.+)$", 1))
+    return F.when(found == "", "this question").otherwise(found)
+
+
+def prompt_sources(prompt: Column) -> Column:
+    """Texts of the numbered sources in a prompt's context, each line trimmed."""
+    context = F.regexp_extract(prompt, r"(?s)(?:^|\n)[ \t]*Context:[^\n]*\n(.*?)(?:\n[ \t]*Question:|$)", 1)
+    lines = F.array_join(F.transform(F.split(context, "\n"), strip), "\n")
+    parts = F.split(lines, r"(?m)^\[\d+\]\s[^\n]*$")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\n|\n$", "")), lambda p: strip(p) != "")
 
 
 def sanitized_claim(text: Column) -> Column:
-    """A claim without citation marks and without the connectors that they leave at its end."""
-    out = F.regexp_replace(text, r"\[\d+\]", "")
-    out = strip(F.regexp_replace(out, r"(?U)\s{2,}", " "))
-    out = F.regexp_replace(out, r"(?U)[\s.,;:]+$", "")
-    out = strip(F.regexp_replace(out, r"(?iU)\s*(?:,|\band\b|\bor\b)$", ""))
-    return F.regexp_replace(out, r"(?U)[\s.,;:]+$", "")
+    """A claim without citation marks and without the punctuation and the one connector that they leave at its end."""
+    plain = strip(F.regexp_replace(F.regexp_replace(text, r"\[\d+\]", ""), r"(?U)\s{2,}", " "))
+    return F.regexp_replace(plain, r"(?iU)[\s.,;:]*(?:\b(?:and|or)\b[\s.,;:]*)?$", "")
+
+
+def claim_citations(text: Column, own: Column, most: Column, kept: int = 2) -> Column:
+    """The first ``kept`` of a claim's citations, its own and those marked in its text, that are among ``most`` sources."""
+    every = F.array_union(F.coalesce(own, F.array().cast("array<int>")), citation_numbers(text))
+    return F.slice(F.array_sort(F.filter(every, lambda n: n.between(1, most))), 1, kept)
 
 
 def support_score(entailment: Column, contradiction: Column) -> Column:
@@ -196,6 +253,11 @@ def percent_gain(old: Column, new: Column) -> Column:
     return F.when(old != 0, F.bround((new - old) / old * 100, 1))
 
 
+def shown_metric(metric: Column, value: Column) -> Column:
+    """A metric for display: milliseconds of costs, percent of the others, N/A for null."""
+    return F.when(value.isNull(), "N/A").when(metric.isin(*COSTS, *[METRIC_NAMES[c] for c in COSTS]), F.concat(F.format_number(value, 1), F.lit(" ms"))).otherwise(F.format_string("%.1f%%", value))
+
+
 def rank_percentile(values: Column, q: float) -> Column:
     """Element ``min(n - 1, int(q * n))`` of the sorted values; 0 if there are none."""
     n = F.size(values)

@@ -1,48 +1,25 @@
-"""Lexical and dense indexes as tables, their searches, fusion and re-ranking, for whole sets of queries at once."""
+"""Lexical and dense searches over stored indexes, fusion and re-ranking, for whole sets of queries at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import scratch_path
+from . import vectors as V
+from .index import LexicalIndex, build_index, score
 
-K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf``."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(T.index_tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
-def document_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, dl``; documents without a token have length 0 and count in the mean."""
-    return docs.select(F.col(id_col).alias("id"), F.size(T.index_tokens(F.col(text_col))).cast("long").alias("dl"))
-
-
-def inverse_frequencies(post: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``term, idf``; negative values become a quarter of the mean over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n")))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``query_id, term, qtf``: a repeated word counts as often as it stands."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(T.index_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+#: Adds ``score`` to rows, given the names of their question and passage.
+PairScorer = Callable[[DataFrame, str, str], DataFrame]
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """``query_id, doc_id, score`` of documents that share a term with the query."""
-    post, lengths = postings(docs, id_col, text_col), document_lengths(docs, id_col, text_col)
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
-    # the join keys are terms: the query side decides which postings travel
-    hits = query_terms(queries, query_id, query_text).join(inverse_frequencies(post, lengths), "term").join(post, "term")
-    hits = hits.join(lengths, "id").crossJoin(F.broadcast(mean))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(gain).alias("score"))
+    """``query_id, doc_id, score`` without a stored index: one is built for the purpose."""
+    return score(build_index(docs, scratch_path(docs.sparkSession, "index"), id_col, text_col), queries, query_id, query_text)
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", rank: str = "rank", item: str = "doc_id") -> DataFrame:
@@ -51,28 +28,25 @@ def ranked(scores: DataFrame, k: int, score: str = "score", rank: str = "rank",
     return scores.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, pad_zero: bool = False) -> DataFrame:
+def bm25_top(index: LexicalIndex, queries: DataFrame, k: int, pad_zero: bool = False) -> DataFrame:
     """Ranked BM25 hits.  ``pad_zero`` fills up to ``k`` with the lowest ids that match nothing, at score 0."""
-    scores = bm25_scores(docs, queries)
-    if pad_zero:
-        # the k + k lowest ids suffice: at most k of them can be hits
-        lowest = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-        rest = queries.select(F.col("item_id").alias("query_id")).crossJoin(F.broadcast(lowest)).join(scores, ["query_id", "doc_id"], "left_anti")
-        scores = scores.filter(F.round("score", 9) > 0).union(rest.select("query_id", "doc_id", F.lit(0.0))).union(scores.filter(F.round("score", 9) <= 0))
-    return ranked(scores, k)
+    hits = score(index, queries)
+    if not pad_zero:
+        return ranked(hits, k)
+    # hits above 0 come first; of the others the lowest ids, of which the 2 k lowest suffice, as at most k are hits
+    best = ranked(hits.filter(F.round("score", 9) > 0), k)
+    lowest = index.forward.select(F.col("id").alias("doc_id")).orderBy("id").limit(2 * k)
+    held = best.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.select(F.col("item_id").alias("query_id")).join(held, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    rest = short.crossJoin(F.broadcast(lowest)).join(best, ["query_id", "doc_id"], "left_anti")  # 2 k ids a query
+    below = hits.filter(F.round("score", 9) < 0)
+    rest = rest.join(below, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return ranked(best.drop("rank").union(rest).union(below.select("query_id", "doc_id", "score")), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score``: cosine of unit vectors, every query against every vector.
-
-    The query side is a batch of questions; it is broadcast in blocks by the caller if it is large.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return vectors.crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("doc_id"), dot(F.col("q"), F.col("embedding")).alias("score"))
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Ranked exact hits of ``queries`` (rows of the same columns) among ``vectors``, ``vec_id, embedding``."""
+    return ranked(V.search(vectors, queries, k), k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
@@ -85,12 +59,14 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return ranked(both.withColumn("rrf", part("rank_dense") + part("rank_bm25")).withColumn("channels", channels), k, "rrf")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, fetch: int = 50, k: int = 20) -> DataFrame:
+def hybrid(index: LexicalIndex, queries: DataFrame, vectors: DataFrame, fetch: int = 50, k: int = 20) -> DataFrame:
     """Fused hits of both channels; query i pairs the text of item i with vector i."""
+    if not 0 < k <= fetch:
+        raise ValueError("0 < k <= fetch is required")
     known = queries.select(F.col("item_id").alias("vec_id")).distinct()
-    asked = vectors.join(F.broadcast(known), "vec_id", "left_semi")
-    in_corpus = vectors.join(docs.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    return fuse(ranked(dense_scores(in_corpus, asked), fetch), bm25_top(docs, queries, fetch, pad_zero=True), k)
+    asked = vectors.join(known, "vec_id", "left_semi")
+    in_corpus = vectors.join(index.forward.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    return fuse(dense_top(in_corpus, asked, fetch), bm25_top(index, queries, fetch, pad_zero=True), k)
 
 
 def dense_only(hits: DataFrame, k: int) -> DataFrame:
@@ -98,19 +74,46 @@ def dense_only(hits: DataFrame, k: int) -> DataFrame:
     return ranked(hits.filter("score_dense is not null").drop("rank"), k, "score_dense")
 
 
-def overlap_score(query: Column, passage: Column) -> Column:
+def shown_hits(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hits with what a reader sees of each: its columns and a preview; hits without a chunk are dropped."""
+    return hits.join(chunks.withColumnRenamed(id_col, "doc_id"), "doc_id").withColumn("preview", T.preview(F.col("text"))).drop("text")
+
+
+def overlap(question: Column, passage: Column) -> Column:
     """Stand-in for a cross-encoder: share of the query's words in the passage, shorter passages first among equals."""
-    return T.coverage(T.word_set(query), T.word_set(passage)) + 0.01 / (1 + F.size(T.word_list(passage)))
+    return T.coverage(T.word_set(question), T.word_set(passage)) + 0.01 / (1 + F.size(T.word_list(passage)))
+
+
+def overlap_scorer(rows: DataFrame, question: str, passage: str) -> DataFrame:
+    return rows.withColumn("score", overlap(F.col(question), F.col(passage)))
+
 
+class EmptyPool(ValueError):
+    """A query none of whose hits has a text."""
 
-def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, pool: int = 20, k: int = 5, scorer=overlap_score) -> DataFrame:
-    """The ``k`` best of the first ``pool`` hits by ``scorer(query, passage)``; hits without a document are dropped."""
-    head = hits.filter(F.col("rank") <= pool).select("query_id", "doc_id", F.col("rank").alias("hybrid_rank"), F.col("rrf").alias("hybrid_score"))
-    texts = head.join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
-    scored = texts.withColumn("score", scorer(F.col("question"), F.col("passage")))
-    return ranked(scored, k, rank="final_rank")
+
+def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, pool: int = 20, k: int = 5, scorer: PairScorer = overlap_scorer, strict: bool = False) -> DataFrame:
+    """The ``k`` best of the first ``pool`` hits by ``scorer``; hits without a document are dropped.
+
+    ``strict`` raises if a query is left without any hit.
+    """
+    if not 0 < k <= pool:
+        raise ValueError("0 < k <= pool is required")
+    head = hits.filter(F.col("rank") <= pool).select("query_id", "doc_id", F.col("rank").alias("hybrid_rank"), F.col("rrf").alias("hybrid_score"), "channels")
+    asked = queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    texts = head.join(docs.select("doc_id", F.col("text").alias("passage")), "doc_id").join(asked, "query_id")
+    out = ranked(scorer(texts, "question", "passage"), k, rank="final_rank")
+    if strict and (lost := asked.join(out, "query_id", "left_anti").limit(1).count()):
+        raise EmptyPool(f"at least {lost} query has no hit with a text")
+    return out
 
 
 def rank_movement(reranked: DataFrame) -> DataFrame:
     """``query_id, mean_abs_rank_change`` over the hits that were kept."""
     return reranked.groupBy("query_id").agg(F.avg(F.abs(F.col("hybrid_rank") - F.col("final_rank"))).alias("mean_abs_rank_change"))
+
+
+def rerank_summary(reranked: DataFrame, pools: DataFrame) -> DataFrame:
+    """One row over all queries: how many, pairs scored, and the mean of each query's movement, to two decimals."""
+    moved = rank_movement(reranked).select(F.count("*").alias("queries"), F.round(F.avg(F.round("mean_abs_rank_change", 2)), 2).alias("mean_abs_rank_change"))
+    return moved.crossJoin(pools.agg(F.count("*").alias("pairs_scored")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns of the files that are read and written.
 MANIFEST = "theme string, arxiv_id string, title string, authors array<string>, summary string, pdf_url string, local_path string"
 DOCUMENTS = "documents array<struct<id:string,theme:string,title:string,file_path:string,page_count:int,chars:int,pages:array<struct<page:int,text:string>>>>"
 CHUNKS = "chunks array<struct<chunk_id:string,document_id:string,theme:string,page_start:int,page_end:int,tokens_est:int,text:string>>"
@@ -15,6 +16,10 @@ RESULTS = (
 )
 
 
+REFERENCE = "documents array<struct<id:string,page_count:int>>"
+QUESTION_ENVELOPE = "questions array<struct<" + ",".join(":".join(c.split(" ")) for c in QUESTIONS.split(", ")) + ">>"
+
+
 class IntegrityError(ValueError):
     """A table that must not be used: empty, with missing values or repeated keys."""
 
@@ -41,12 +46,49 @@ def chunks(spark: SparkSession, path: str, required: tuple[str, ...] = ("chunk_i
     return checked(enveloped(spark, path, CHUNKS, "chunks"), required, "chunk_id")
 
 
+def payload(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks as they are, with the one guard that there is a list of them."""
+    rows = enveloped(spark, path, CHUNKS, "chunks")
+    if rows.isEmpty():
+        raise IntegrityError(f"{path} holds no list of chunks")
+    return rows
+
+
+def page_counts(spark: SparkSession, path: str) -> DataFrame | None:
+    """``document_id, page_count`` of a documents file; None if it is absent or no such file."""
+    if not present(spark, path):
+        return None
+    rows = enveloped(spark, path, REFERENCE, "documents").filter("id is not null").select(F.col("id").alias("document_id"), "page_count")
+    return None if rows.isEmpty() else rows
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def located(spark: SparkSession, name: str, folders: list[str]) -> str:
+    """The first of ``folders`` that holds ``name``, as a path; raises if none does."""
+    for folder in folders:
+        if present(spark, f"{folder.rstrip('/')}/{name}"):
+            return f"{folder.rstrip('/')}/{name}"
+    raise FileNotFoundError(f"{name} stands in none of {', '.join(folders)}")
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTIONS).json(path, multiLine=True)
+    """Annotated questions of a file that is a list, or an object with a list of that name."""
+    listed = spark.read.schema(QUESTIONS).json(path, multiLine=True).filter("id is not null")
+    return listed if not listed.isEmpty() else enveloped(spark, path, QUESTION_ENVELOPE, "questions")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).csv(path, header=True)
+    """Rows of an evaluation; none if the file is missing."""
+    return spark.read.schema(RESULTS).csv(path, header=True) if present(spark, path) else spark.createDataFrame([], RESULTS)
+
+
+def report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report's one object as a row; none if the file is missing."""
+    return spark.read.schema(schema).json(path, multiLine=True) if present(spark, path) else spark.createDataFrame([], schema)
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -64,14 +106,43 @@ def checked(rows: DataFrame, required: tuple[str, ...], key: str) -> DataFrame:
 
 
 def resolve_questions(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Question and relevant chunk pairs, and the questions that are left out as they name an unknown chunk."""
-    pairs = asked.select("id", "question", "theme", F.explode("relevant_chunks").alias("chunk_id"))
-    bad = pairs.join(known.select("chunk_id"), "chunk_id", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("chunk_id")).alias("unknown"))
-    return pairs.join(bad, "id", "left_anti"), bad
+    """Question and relevant chunk pairs, and ``id, reason`` of the questions that are left out.
+
+    A question is left out as a whole if it has no text or no chunk, or names a chunk that is not ``known``.  Ids
+    need not be unique: a question is told by its id, text and chunks.
+    """
+    key = F.xxhash64("id", "question", "relevant_chunks")
+    rows = asked.withColumn("key", key).withColumn("chunks", F.coalesce("relevant_chunks", F.array().cast("array<string>")))
+    blank = (F.trim(F.coalesce("question", F.lit(""))) == "") | (F.size("chunks") == 0)
+    empty = rows.filter(blank).select("id", F.lit("empty slot").alias("reason"))
+    pairs = rows.filter(~blank).select("key", "id", "question", "theme", "difficulty", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk_id"))
+    lost = pairs.join(known.select("chunk_id").distinct(), "chunk_id", "left_anti").groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("k"), F.first("n").alias("n"))
+    reason = F.format_string("%d of %d chunks unknown", "k", "n")
+    return pairs.join(lost, "key", "left_anti").drop("key", "n").distinct(), empty.union(lost.select("id", reason))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True, nullValue="")
+    """One file with a header, in the rows' order; null is written as nothing."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """What is kept of a manifest, valid or flagged and not quarantined, by theme and id."""
+    kept = entries.filter(F.col("status").isin("valid", "flagged") & ~F.col("quarantined"))
+    kept.orderBy("theme", "id").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_with_metadata(rows: DataFrame, path: str, generator: str, config: dict[str, str], statistics: DataFrame | None = None) -> None:
+    """Rows, and beside them one row that says what made them, when and how, and their statistics."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    run_metadata(rows.sparkSession, generator, config).write.mode("overwrite").parquet(f"{path}/metadata")
+    if statistics is not None:
+        statistics.write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def write_index(tables: dict[str, DataFrame], folder: str) -> None:
