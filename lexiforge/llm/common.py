@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import time
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.scratch import scratch_path, shared_folder, stored  # noqa: F401
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -20,36 +19,8 @@ except (OSError, AttributeError):  # another C library
     _LIBC = None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) a temporary
-    folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
-        atexit.register(shutil.rmtree, found[len("file://") :], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lexiforge/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from files, not from lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+cut = stored
+shared_dir = shared_folder
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -78,7 +49,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table early."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+#: A key that holds more than one in so many rows is joined by broadcast: there are at most so many of them.
+HEAVY_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``left`` with the columns of ``right``, a row a key at most, that has the rows of each key in ``count``.
+
+    Keys with more than a ``HEAVY_SHARE``-th of all rows, of which there are at most that many, are joined by broadcast, so
+    that no task gets all rows of one key; the others by the usual way.  Rows without a match keep nulls.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) > total / HEAVY_SHARE
+    big = right.filter(heavy).limit(HEAVY_SHARE)
+    marked = left.join(F.broadcast(big.withColumn("is_heavy", F.lit(True))), keys, "left")
+    rest = marked.filter("is_heavy is null").select(*left.columns).join(right.filter(~heavy), keys, "left")
+    names = [*left.columns, *[c for c in right.columns if c not in keys]]
+    return marked.filter("is_heavy").select(*names).union(rest.select(*names))

@@ -5,24 +5,28 @@ words, so one threshold fits all parts.  Training texts are cut into blocks of 6
 blocks are one passage and one query: an item that stands in a text lies whole in some passage.  Block maxima are first summed
 for whole batches of passages: one with no range of parts whose bound reaches the threshold can retrieve nothing.  For
 the others block-max WAND finds all parts that reach the threshold.  A retrieved item is verified by the share of its
-question's and its answer's five-word shingles that the text holds nearby.
+question's and its answer's five-word shingles that the text holds nearby: half of each, or most of both together.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyarrow import fs as arrow_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import cut, scratch_path, small_batches
 from .textvec import chunks, mix, words
 
 #: Words of an index part and of a text block; a passage is two blocks.
@@ -38,9 +42,13 @@ BOUNDED = 8192
 RETRIEVE = 0.4
 #: Words of a shingle, and the share of shingles of question and of answer that verify an item.
 SHINGLE, OVERLAP = 5, 0.5
-#: Test items of one index, at most; more items make more indexes, each of which all texts are run against.
+#: Share of all of an item's shingles that verifies it if question and answer have any: short sides lose half to one changed word.
+WHOLE = 0.7
+#: Test items of one index, about; more items make more indexes, each of which all texts are run against.
 INDEX_ITEMS = 20_000
 CHUNK = 1_500_000
+#: Code points of texts that are run against one index after the other: a worker holds one index at a time.
+HELD = 32_000_000
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -239,7 +247,9 @@ class BlockMaxIndex:
                 item = self.items[number]
                 begin = of[i] + (k - first[i]) * PART
                 near = hashes[max(of[i], begin - item.words) : min(of[i + 1], begin + 2 * PART + item.words)]
-                overlap = min(self.verify(item, near))
+                question, answer = self.verify(item, near)
+                whole = (question * len(item.question) + answer * len(item.answer)) / (len(item.question) + len(item.answer))
+                overlap = max(min(question, answer), whole if min(question, answer) > 0 and whole >= WHOLE else 0.0)
                 if overlap >= OVERLAP:
                     own = found.setdefault(i, {})
                     own[item.item_id] = max(overlap, own.get(item.item_id, 0.0))
@@ -248,37 +258,83 @@ class BlockMaxIndex:
 
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
-    """Indexes of all test items, each of about ``INDEX_ITEMS`` at most; one after the other is built and broadcast."""
-    small_batches(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id is not null and text is not null")
-    parts = max(1, -(-items.count() // INDEX_ITEMS))
-    out = []
-    for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in rows])))
-    return out
-
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[str, int]:
+    """Build indexes of all test items on the executors, each of about ``INDEX_ITEMS``; their folder and their number.
 
-def search_all(shared: list[Broadcast], texts: list[str | None]) -> list[list[tuple[int, float]]]:
-    """The verified items of each text, over all indexes."""
+    They are files of the shared folder: neither the driver nor a broadcast holds them.  Items without id or text are left out.
+    """
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+    items = cut(items, "test-items")
+    n = items.count()
+    parts = -(-n // INDEX_ITEMS)
+    folder = scratch_path(spark, "test-indexes")
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store, base = arrow_fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        rows = rows.sort_values(["item_id", "text"])
+        name = f"{base}/{int(key[0])}"
+        passing = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(passing) as f:
+            f.write(pickle.dumps(BlockMaxIndex(list(zip(rows["item_id"].tolist(), rows["text"].tolist(), strict=True))), pickle.HIGHEST_PROTOCOL))
+        store.move(passing, name)  # the same bytes, whichever attempt wrote them
+        return pd.DataFrame({"part": [int(key[0])], "items": [len(rows)]})
+
+    if parts:
+        built = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts))).groupBy("part").applyInPandas(build, "part long, items long")
+        made = {r.part: r["items"] for r in built.collect()}  # a row an index
+        if sum(made.values()) != n:
+            raise ValueError(f"indexes hold {sum(made.values())} of {n} items")
+        return folder, max(made) + 1
+    return folder, 0
+
+
+@lru_cache(maxsize=1)
+def load_index(folder: str, part: int) -> BlockMaxIndex | None:
+    """One index; None for a number that no item fell to."""
+    store, base = arrow_fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{base}/{part}").type != arrow_fs.FileType.File:
+        return None
+    with store.open_input_file(f"{base}/{part}") as f:
+        return pickle.loads(f.read())
+
+
+def search_all(folder: str, parts: int, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+    """The verified items of each text, over all indexes, one after the other."""
     own = [t or "" for t in texts]
     hits: list[list] = [[] for _ in own]
-    for index in shared:
+    for k in range(parts):
+        if (index := load_index(folder, k)) is None:
+            continue
         for part in chunks([len(t) for t in own], CHUNK):
-            for i, found in enumerate(index.value.search(own[part]), part.start):
+            for i, found in enumerate(index.search(own[part]), part.start):
                 hits[i] += found
     return hits
 
 
+def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts have ``HELD`` bytes, so that an index is loaded once for all of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= HELD:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item; nothing is shuffled."""
-    shared = indexes(benchmark)
+    folder, parts = indexes(benchmark)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [not found for found in search_all(shared, batch.column(at).to_pylist())]
+        for batch in gathered(batches, at) if parts > 1 else batches:
+            clean = [not found for found in search_all(folder, parts, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -293,11 +349,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     schema = to_arrow_schema(StructType.fromDDL("doc_id long, items array<struct<item_id:long,overlap:double>>"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = indexes(benchmark, item_col, item_text_col)
+    folder, parts = indexes(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [[{"item_id": a, "overlap": b} for a, b in own] for own in search_all(shared, batch.column(1).to_pylist())]
+        for batch in gathered(batches, 1) if parts > 1 else batches:
+            hits = [[{"item_id": a, "overlap": b} for a, b in own] for own in search_all(folder, parts, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, schema.field("items").type)], schema=schema)
 
     found = texts.mapInArrow(run, "doc_id long, items array<struct<item_id:long,overlap:double>>")

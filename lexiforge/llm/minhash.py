@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release_shuffles, small_batches
+from .common import cut, give_back, join_counted, release_shuffles, small_batches
 from .components import connected_components
 from .textvec import chunks, mix, words
 
@@ -145,7 +145,7 @@ def sketch_table(texts: DataFrame, count: int, length: int, seed: int) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, count * len(some) + 1, count, dtype=np.int32)), pa.array(values[some].ravel()))
                 keys = keys.view(np.int64)[some]
                 ids = batch.column(0).slice(part.start, part.stop - part.start).take(pa.array(some))
-                pa.default_memory_pool().release_unused()
+                give_back()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "key_1", "key_2", "sketches"])
 
     return texts.mapInArrow(run, "doc_id long, key_1 long, key_2 long, sketches array<long>")
@@ -154,8 +154,8 @@ def sketch_table(texts: DataFrame, count: int, length: int, seed: int) -> DataFr
 def candidates(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a < b`` to compare and members of crowded buckets (``bucket, leader, doc_id``) from ``doc_id, sketches``."""
     spots = cut(sketched.select("doc_id", F.posexplode("sketches").alias("slot", "value")).select("doc_id", F.xxhash64("slot", "value").alias("bucket")), "minhash-spots")
-    sizes = spots.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
-    members = spots.join(sizes, "bucket")
+    sizes = cut(spots.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1"), "minhash-sizes")
+    members = join_counted(spots, sizes, ["bucket"], "n").filter("n is not null")
     few = members.filter(F.col("n") <= PAIRWISE).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     each = few.select("ids", F.posexplode("ids").alias("k", "a"))
     close = each.select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"))
@@ -246,7 +246,7 @@ def crowded_links(crowded: DataFrame, links: DataFrame, texts: DataFrame, thresh
         ids, component, role, size = (group.column(c).to_numpy() for c in ("doc_id", "component", "role", "size"))
         own = [pa.decompress(s.as_buffer(), int(k), codec="zstd", asbytes=True).decode() for s, k in zip(group.column("small"), size, strict=True)]
         found = np.array(block_links(ids, component, role, own, threshold), np.int64).reshape(-1, 2)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)}) if len(found) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     # of buckets with the same members one is enough
@@ -292,8 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = texts.filter("doc_id is not null")
     table = cut(sketch_table(known, *FIRST, 1), "minhash-sketches")
     firsts = table.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copied = cut(firsts.filter("n > 1").select("key_1", "key_2", "rep"), "minhash-copies")
-    named = table.join(copied, ["key_1", "key_2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "sketches")
+    copied = cut(firsts.filter("n > 1"), "minhash-copies")
+    named = join_counted(table, copied, ["key_1", "key_2"], "n").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "sketches")
     pairs, crowded = candidates(named.filter("doc_id = rep").select("doc_id", "sketches"))
     pairs = cut(pairs, "minhash-pairs")
     links = cut(verified(pairs, known, threshold, alike=True), "minhash-links")
@@ -302,8 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = parts.withColumnRenamed("node", "rep")
     classes = named.select("doc_id", "rep").distinct().join(parts, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     classes = cut(classes, "minhash-classes")
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1")
-    out = texts.select("doc_id").join(classes, "doc_id", "left").join(sizes, "class_id", "left")
+    sizes = cut(classes.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "minhash-sizes")
+    out = texts.select("doc_id").join(join_counted(classes, sizes, ["class_id"], "class_size"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -40,7 +40,7 @@ def shard_groups(rows: DataFrame, shards: int) -> DataFrame:
     spread = F.pmod(F.xxhash64("group_key"), F.lit(256))
     level = F.floor(F.lit(8) - F.log2(spread + 1)).cast("int")
     cell = level * CELLS + F.pmod(F.xxhash64(F.lit(1), "group_key"), F.lit(CELLS)).cast("int")
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("cell", cell)
+    groups = cut(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")).withColumn("cell", cell), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     heavy = F.col("bytes") > F.lit(total // (shards * HEAVY))
     big = [(r.bytes, bytes(r.group_key)) for r in groups.filter(heavy).select("bytes", "group_key").collect()]

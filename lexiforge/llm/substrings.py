@@ -2,7 +2,8 @@
 
 Every 50-byte window of the corpus is dealt to a bucket by its minimiser, the 10-byte string inside it of smallest
 hash; equal windows have equal minimisers, so each bucket can be judged alone.  Neighbouring windows share their
-minimiser and travel as one stretch.  A bucket first drops windows whose minimiser, with the longer part of the window
+minimiser and travel as one stretch.  Stretches of very common minimisers are dealt by their longer side too, which all
+windows of that side share, so that a minimiser of many contexts does not fill one bucket.  A bucket first drops windows whose minimiser, with the longer part of the window
 beside it, stands in one document only.  The suffixes that begin at its windows are then sorted by deep-shallow
 sorting: multikey quicksort over 8-byte characters to a shallow depth, leaving out what is alone, then blind tries for
 the groups whose common prefix goes on.  A leaf of a trie holds the windows that are equal, byte for byte; those not in
@@ -47,6 +48,12 @@ BATCH_BYTES = 1 << 20
 SENT_BYTES = 32 << 20
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 3 << 20
+#: Bytes of text, about, in which very common minimisers are looked for, and the share of its stretches that makes one so.
+#: They only decide where windows are compared, never what goes.
+LOOKED_AT, COMMON_SHARE, MOST_COMMON = 64 << 20, 20_000, 4096
+#: Places, from the minimiser on, of the words of the longer side beside it: bytes that all windows of one kind hold.
+RIGHT = (0, 8, 16, ANCHOR + BESIDE - 8)
+LEFT = (-BESIDE, 8 - BESIDE, 16 - BESIDE, ANCHOR - 8)
 
 
 def words_at(raw: bytes | bytearray | memoryview) -> np.ndarray:
@@ -189,6 +196,29 @@ def same_bytes(view: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
     return out
 
 
+def context(view: np.ndarray, at: np.ndarray, steps: tuple) -> np.ndarray:
+    """Hash of the bytes around each place."""
+    key = word(view, at + steps[0])
+    for d in steps[1:]:
+        key = mix(key) + word(view, at + d)
+    return key
+
+
+def parted(view: np.ndarray, start: np.ndarray, last: np.ndarray, anchor: np.ndarray, h: np.ndarray, text: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches, those with a ``common`` minimiser cut in two where its longer side changes, with what each is dealt by:
+    the minimiser's hash, or for common ones that of the minimiser and its longer side, which parts its contexts."""
+    hot = np.isin(h, common)
+    if not hot.any():
+        return start, last, anchor, text, h
+    turn = anchor[hot] - BESIDE  # windows from here on have the longer side on the right
+    out = [[x[~hot] for x in (start, last, anchor, text, h)]]
+    for first, stop, steps in ((np.maximum(start[hot], turn), last[hot], RIGHT), (start[hot], np.minimum(last[hot], turn - 1), LEFT)):
+        some = np.flatnonzero(first <= stop)
+        place = anchor[hot][some]
+        out.append([first[some], stop[some], place, text[hot][some], context(view, place, steps)])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one minimiser: first window, last window, minimiser's place and hash, and text number."""
     n = len(data)
@@ -306,14 +336,16 @@ class Repeated:
         self.keys, self.docs, self.sizes, self.texts = (c[order] for c in columns)
 
 
-def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int, shift: int = 0, repeated: Repeated | None = None) -> Dealt | None:
-    """Cut texts up; ``shift`` is the place of a lone piece in its document."""
+def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets: int, shift: int = 0, repeated: Repeated | None = None, common: np.ndarray | None = None) -> Dealt | None:
+    """Cut texts up; ``shift`` is the place of a lone piece in its document, ``common`` has hashes of common minimisers."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=bounds[1:])
     start, last, anchor, h, text = stretches(data, bounds)
     if not len(start):
         return None
+    if common is not None and len(common):
+        start, last, anchor, text, h = parted(words_at(data.data), start, last, anchor, h, text, common)
     size = last - start + WINDOW
     content = span_hashes(data, start, last + WINDOW)
     order = np.lexsort((doc_ids[text], content))
@@ -324,8 +356,8 @@ def deal(doc_ids: np.ndarray, versions: np.ndarray, texts: list[bytes], buckets:
     smallest = doc_ids[text[first]]
     if repeated is not None:
         smallest = repeated.smallest(content[first], smallest, data, start[first], size[first])
-        common = several[doc_ids[text[order[edges[several + 1] - 1]]] > smallest[several]]
-        repeated.learn(content[first[common]], smallest[common], data, start[first[common]], size[first[common]])
+        spread = several[doc_ids[text[order[edges[several + 1] - 1]]] > smallest[several]]
+        repeated.learn(content[first[spread]], smallest[spread], data, start[first[spread]], size[first[spread]])
     # settled: another document's, smaller, holds the same bytes
     own, head = order, first[group]
     later = np.flatnonzero(doc_ids[text[own]] > smallest[group])
@@ -380,9 +412,7 @@ def shared_contexts(view: np.ndarray, at: np.ndarray, steps: tuple, rows: np.nda
 
     Equal contexts have equal numbers; contexts are told apart by a hash, so different ones may share a number.
     """
-    key = word(view, at[rows] + steps[0])
-    for d in steps[1:]:
-        key = mix(key) + word(view, at[rows] + d)
+    key = context(view, at[rows], steps)
     order = np.argsort(key, kind="stable")
     edges = runs(key[order])
     shared = shared_runs(owner[rows[order]], edges)
@@ -413,8 +443,8 @@ def judge(blobs: list[bytes]) -> np.ndarray:
     view = words_at(data.data)
     # Places of windows, as bytes before the minimiser: up to BESIDE the right side is the longer one, then the left.
     low, high = np.maximum(0, anchor - (length - WINDOW)), anchor
-    right, right_context = shared_contexts(view, offset + anchor, (0, 8, 16, ANCHOR + BESIDE - 8), np.flatnonzero(low <= BESIDE), owner)
-    left, left_context = shared_contexts(view, offset + anchor, (-BESIDE, 8 - BESIDE, 16 - BESIDE, ANCHOR - 8), np.flatnonzero(high > BESIDE), owner)
+    right, right_context = shared_contexts(view, offset + anchor, RIGHT, np.flatnonzero(low <= BESIDE), owner)
+    left, left_context = shared_contexts(view, offset + anchor, LEFT, np.flatnonzero(high > BESIDE), owner)
     rest = np.concatenate([right, left])
     if not len(rest):
         return settled
@@ -452,9 +482,33 @@ def judge(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([settled, out])
 
 
+def common_minimisers(rows: DataFrame, total_bytes: int) -> np.ndarray:
+    """Hashes of minimisers that hold more than a ``COMMON_SHARE``-th of the stretches looked at, ``MOST_COMMON`` at most."""
+    share = max(16, total_bytes // LOOKED_AT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in chunks([len(t) for t in texts], BATCH_BYTES):
+                for at in range(0, max(1, len(texts[part.start]) if part.stop - part.start == 1 else 1), BATCH_BYTES):
+                    own = [t[at : at + BATCH_BYTES] for t in texts[part]]
+                    bounds = np.append(0, np.cumsum([len(t) for t in own]))
+                    h, n = np.unique(stretches(np.frombuffer(b"".join(own), np.uint8), bounds)[3], return_counts=True)
+                    often = n > 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), n.sum()))], ["h", "n", "total"])
+
+    looked = rows.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0).select("data").mapInArrow(count, "h long, n long, total long")
+    counts = cut(looked.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "minimisers")
+    total = counts.agg(F.sum("total")).first()[0] or 0
+    most = counts.filter(F.col("n") > max(64, total / COMMON_SHARE)).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return most["h"].to_numpy().astype(np.int64).view(np.uint64)
+
+
 def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
     """``doc_id, version, ranges`` (array of begin, end; overlapping, in any order) from rows ``doc_id, version, data``."""
     buckets = max(64, math.ceil(total_bytes / BUCKET_BYTES))
+    rows = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= WINDOW))
+    common = common_minimisers(rows, total_bytes)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Dealt] = []
@@ -483,7 +537,7 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
                 step = BATCH_BYTES - WINDOW + 1
                 long = len(texts) == 1 and len(texts[0]) > BATCH_BYTES
                 for at in range(0, len(texts[0]) - WINDOW + 1, step) if long else (0,):
-                    got = deal(doc_ids[part], versions[part], [texts[0][at : at + BATCH_BYTES]] if long else texts, buckets, at, repeated)
+                    got = deal(doc_ids[part], versions[part], [texts[0][at : at + BATCH_BYTES]] if long else texts, buckets, at, repeated, common)
                     if got:
                         held.append(got)
                         size += len(got.payload)
@@ -497,7 +551,7 @@ def repeated_ranges(rows: DataFrame, total_bytes: int) -> DataFrame:
         give_back()
         return out
 
-    dealt = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= WINDOW)).mapInArrow(cut_up, "bucket int, blob binary")
+    dealt = rows.mapInArrow(cut_up, "bucket int, blob binary")
     found = dealt.groupBy("bucket").applyInPandas(settle, "doc_id long, version long, begin long, end long")
     return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, scratch_path
+from .common import cut, join_counted, scratch_path
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -156,7 +156,7 @@ def with_decisions(pages: DataFrame, id_col: str, url_col: str, html_col: str, l
     known = cut(keyed.select("page_id", "digest"), "warc-digests")
     first = known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     # copies only; a page id that stands in several rows has one decision for each of its payloads
-    revisits = known.join(first.select("digest", "refers_to"), "digest").filter(F.col("page_id") != F.col("refers_to")).distinct()
+    revisits = join_counted(known, cut(first, "warc-copies"), ["digest"], "n").filter("refers_to is not null").select("page_id", "digest", "refers_to").filter(F.col("page_id") != F.col("refers_to")).distinct()
     own = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     return own.join(revisits, ["page_id", "digest"], "left").drop("digest")
 
@@ -168,8 +168,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write ``folder/*.warc.gz``, a member a record; returns the manifest ``archive, records, bytes``.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the largest id is the response and the others
-    revisit it.  ``folder`` must be seen by all executors; each archive is written under a passing name and
-    then moved, and its name follows from the partition, so a task that runs again replaces what it wrote before.
+    revisit it.  ``folder`` must be seen by all executors.  Archives are named after the attempt that wrote them, and the
+    manifest lists those of the attempts that count: what a lost task leaves behind is in no manifest.
     """
     schema = to_arrow_schema(StructType.fromDDL(MANIFEST))
 
@@ -184,14 +184,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         def close() -> None:
             out.close()
-            store.move(f"{base}/{name}.{attempt}.tmp", f"{base}/{name}")
+            store.move(f"{base}/{name}.tmp", f"{base}/{name}")
             done.append((name, records, size))
 
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    name, records, size = f"pages-{part:06d}-{len(done):05d}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{base}/{name}.{attempt}.tmp", compression=None)
+                    name, records, size = f"pages-{part:06d}-{attempt}-{len(done):05d}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{base}/{name}.tmp", compression=None)
                     head = gzip_member(make_record("warcinfo", [("WARC-Record-ID", f"<urn:archive:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                     out.write(head)
                     size += len(head)
@@ -213,6 +213,37 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 RECORDS = "archive string, offset long, length long, kind string, record_type string, page_id long, refers_to long, url string, payload binary, payload_bytes long, payload_digest string, reason string"
 
 
+def number(value: str | None) -> int | None:
+    tail = (value or "").rstrip(">").rpartition(":")[2]
+    return int(tail) if tail.lstrip("-").isdecimal() else None
+
+
+def page_rows(path: str, data: bytes, payload: bool) -> list[tuple]:
+    """Rows of ``RECORDS`` of an archive: its pages' records and its gaps."""
+    rows = []
+    for kind, offset, length, fields, block, reason in salvage(data):
+        if kind == "gap":
+            rows.append((path, offset, length, kind, None, None, None, None, None, None, None, reason))
+            continue
+        record_type = fields.get("warc-type")
+        if record_type not in ("response", "revisit"):
+            continue
+        http, _, body = block.partition(b"\r\n\r\n")
+        if record_type == "response":
+            size, digest = len(body), hashlib.sha1(body).hexdigest()
+        else:
+            stated = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            size = int(stated[0]) if stated else None
+            digest = base64.b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
+        rows.append((path, offset, length, kind, record_type, number(fields.get("warc-record-id")), number(fields.get("warc-refers-to")), fields.get("warc-target-uri"), body if payload else None, size, digest, None))
+    return rows
+
+
+def in_batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 1000], strict=True), schema, strict=True)], schema=schema)
+
+
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     """All records (kind ``record``) and quarantined gaps (kind ``gap``, with reason) of ``folder/*.warc.gz`` and ``*.warc``.
 
@@ -220,36 +251,41 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> Dat
     """
     schema = to_arrow_schema(StructType.fromDDL(RECORDS))
 
-    def number(value: str | None) -> int | None:
-        tail = (value or "").rstrip(">").rpartition(":")[2]
-        return int(tail) if tail.lstrip("-").isdecimal() else None
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for kind, offset, length, fields, block, reason in salvage(content.as_py()):
-                    if kind == "gap":
-                        rows.append((path, offset, length, kind, None, None, None, None, None, None, None, reason))
-                        continue
-                    record_type = fields.get("warc-type")
-                    if record_type not in ("response", "revisit"):
-                        continue
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    if record_type == "response":
-                        size, digest = len(body), hashlib.sha1(body).hexdigest()
-                    else:
-                        stated = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                        size = int(stated[0]) if stated else None
-                        digest = base64.b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
-                    rows.append((path, offset, length, kind, record_type, number(fields.get("warc-record-id")), number(fields.get("warc-refers-to")), fields.get("warc-target-uri"), body if payload else None, size, digest, None))
-                for a in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 1000], strict=True), schema, strict=True)], schema=schema)
+                yield from in_batches(page_rows(path, content.as_py(), payload), schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder).select("path", "content")
     return files.mapInArrow(read, RECORDS)
 
 
+class LostRecords(ValueError):
+    """An archive that does not hold the records that its manifest states."""
+
+
+def read_listed(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+    """As ``read_archives``, of the archives that a manifest lists and no others, an archive a task.
+
+    Raises, with the gaps' reasons, if an archive does not give the records that the manifest states.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(RECORDS))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+
+        store, base = arrow_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, stated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{base}/{name}") as f:
+                    rows = page_rows(name, f.read(), payload)
+                if (found := sum(r[3] == "record" for r in rows)) != stated:
+                    raise LostRecords(f"{name} gives {found} of {stated} records; gaps: {[(r[1], r[2], r[-1]) for r in rows if r[3] == 'gap'][:20]}")
+                yield from in_batches(rows, schema)
+
+    return manifest.select("archive", "records").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every page, as read back from archives.
 
@@ -257,7 +293,5 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     response's id and payload are responses too; an empty table writes and reads nothing; other columns are ignored.
     """
     folder = scratch_path(spark, "warc")
-    if write_archives(pages, folder).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    records = read_archives(spark, folder, payload=False).filter("kind = 'record'")
+    records = read_listed(write_archives(pages, folder), folder, payload=False).filter("kind = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
