@@ -2,7 +2,11 @@
 rest is packed into sequences.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept.  All stages but the last
-return the columns of ``documents``.  Null and empty texts pass the filters unchanged and are packed as empty documents.
+return the columns of ``documents``, whatever further columns the table has.
+
+Defined results, for all stages: null and empty texts pass the filters unchanged and are packed as empty documents; an empty
+table gives an empty table; a table without toxic or without clean labels rejects nothing, and so does an empty benchmark.
+Rows that repeat an id are judged one by one, but for near duplicates: of rows of one id one stays there.
 """
 
 from __future__ import annotations
@@ -16,23 +20,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without toxic evidence beyond the calibrated threshold; the model is fitted on ``labels``."""
+    """Documents without toxic evidence beyond the calibrated threshold; the model is fitted on ``labels``.
+
+    Rows of one id are judged each by its own text; null texts stay.
+    """
     docs = docs.select(*COLUMNS)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near duplicates."""
+    """One document, that of the smallest id, of each class of near duplicates, and one row of each id; rows without an id
+    stay all."""
     return minhash.keep_first(docs.select(*COLUMNS))
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that a document of smaller id holds too."""
+    """Texts without the byte strings that a document of smaller id holds too; a text that goes whole takes its row along."""
     return substrings.strip_repeats(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``; repeated rows are judged each, items without id or text count for nothing."""
     return decontamination.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
