@@ -39,7 +39,7 @@ def give_back() -> None:
 
 
 #: Rows of long text that go to a Python worker at a time.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

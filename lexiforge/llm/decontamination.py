@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, scratch_path, small_batches
+from .common import cut, give_back, scratch_path, small_batches
 from .textvec import chunks, mix, words
 
 #: Words of an index part and of a text block; a passage is two blocks.
@@ -46,7 +46,7 @@ SHINGLE, OVERLAP = 5, 0.5
 WHOLE = 0.7
 #: Test items of one index, about; more items make more indexes, each of which all texts are run against.
 INDEX_ITEMS = 20_000
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Code points of texts that are run against one index after the other: a worker holds one index at a time.
 HELD = 32_000_000
 
@@ -336,6 +336,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         for batch in gathered(batches, at) if parts > 1 else batches:
             clean = [not found for found in search_all(folder, parts, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

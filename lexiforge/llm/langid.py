@@ -33,7 +33,7 @@ ASIDE = 5
 #: Standard deviations above a language's mean cross-entropy from which a text is rejected.
 REJECT = 4.0
 UNKNOWN = "und"
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _STEP = 0x9E3779B97F4A7C15
 

@@ -33,10 +33,10 @@ FIRST = (24, 4)
 #: Texts of a bucket that are compared with each other at once; a larger bucket is compared in rounds.
 PAIRWISE = 8
 #: Bytes of text in a block of a crowded bucket, and how many times as much leads in each round as in the one before.
-BLOCK, GROWTH = 2_000_000, 8
+BLOCK, GROWTH = 1_000_000, 8
 #: Symbols that pass the first sieve for each text and sketch.
 SIEVE = 20
-CHUNK = 1_500_000
+CHUNK = 500_000
 LEVEL = 5
 
 _STEP = np.uint64(0xA0761D6478BD642F)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, small_batches
+from .common import cut, give_back, small_batches
 from .textvec import LETTER, MARK, OTHER, SPACE, HashTable, char_classes, chunks, code_points, span_hashes
 
 #: Tokens in a sequence.
@@ -31,9 +31,9 @@ CAPACITY = 2048
 #: Pieces that one task of the first round places.
 GROUP = 100_000
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Code points that are cut into words at a time.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -240,6 +240,7 @@ def piece_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         begin, edge = edge, edge + capacity
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut_up, PIECES)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import cut, small_batches
+from .common import cut, give_back, small_batches
 from .textvec import chunks, words
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation: the only bounded sample.
@@ -37,7 +37,7 @@ DRIFT = 0.05
 FOLDS = 4
 #: Chance at or below which a segment is a toxic passage.
 PASSAGE_CHANCE = 0.01
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 
 @dataclass
@@ -208,12 +208,19 @@ def weights_of(toxic: np.ndarray, clean: np.ndarray, said: np.ndarray, n_toxic:
     return weights, solve_lambda(said / max(1, said.sum()), weights - DRIFT)
 
 
+def weighted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that weigh something, as words that weigh nothing count like unknown ones."""
+    some = np.flatnonzero(weights)
+    return keys[some], weights[some]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fit on the training part of ``labels`` (columns ``doc_id, toxic``) and the texts of ``docs``.
 
     Without rows of both classes the model has no weights and calls every text clean.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     train = cut(training_sample(docs, labels, sample), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,23 +239,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     if not sizes.sum(axis=0).all():
         model.slope, model.offset = 0.0, -5.0
         return model
-    model.keys, at = np.unique(counts["word"].to_numpy().view(np.uint64), return_inverse=True)
-    by_fold = np.zeros((3, FOLDS, len(model.keys)), np.int64)
+    keys, at = np.unique(counts["word"].to_numpy().view(np.uint64), return_inverse=True)
+    by_fold = np.zeros((3, FOLDS, len(keys)), np.int64)
     for k, c in enumerate(("toxic", "clean", "said")):
         by_fold[k, counts["fold"].to_numpy(), at] = counts[c].to_numpy()
-    model.weights, lam = weights_of(*by_fold.sum(axis=1), *(int(n) for n in sizes.sum(axis=0)[::-1]))
+    weights, lam = weights_of(*by_fold.sum(axis=1), *(int(n) for n in sizes.sum(axis=0)[::-1]))
+    model.keys, model.weights = weighted(keys, weights)
     # each fold is judged by weights from the others
-    others = [weights_of(*(by_fold.sum(axis=1) - by_fold[:, f]), *(max(1, int(n)) for n in (sizes.sum(axis=0) - sizes[f])[::-1]))[0] for f in range(FOLDS)]
-    shared = spark.sparkContext.broadcast((model.keys, others))
+    others = [weighted(keys, weights_of(*(by_fold.sum(axis=1) - by_fold[:, f]), *(max(1, int(n)) for n in (sizes.sum(axis=0) - sizes[f])[::-1]))[0]) for f in range(FOLDS)]
+    shared = spark.sparkContext.broadcast(others)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights = shared.value
         for batch in batches:
             for f in np.unique(batch.column(0).to_numpy()):
                 own = batch.filter(pa.array(batch.column(0).to_numpy() == f))
-                rows = [(n, [s for _, _, s in seg]) for n, seg, *_ in text_segments(ToxicityModel(keys, weights[f]), own.column(1).to_pylist())]
+                rows = [(n, [s for _, _, s in seg]) for n, seg, *_ in text_segments(ToxicityModel(*shared.value[f]), own.column(1).to_pylist())]
                 best = pa.array([max(s, default=0.0) for _, s in rows], pa.float64())
                 yield pa.RecordBatch.from_arrays([own.column(2), pa.array([n for n, _ in rows], pa.int64()), best, pa.array([s for _, s in rows], pa.list_(pa.float64()))], ["toxic", "n", "best", "scores"])
+        give_back()
 
     seen = cut(train.mapInArrow(top, "toxic int, n long, best double, scores array<double>"), "toxicity-scores")
     clean = seen.filter("toxic = 0").select("n", "best").toArrow()  # as many rows as the sample
@@ -300,6 +308,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             texts = [t or "" for t in batch.column(at).to_pylist()]
             clean = [m.score(m.evidence(segments, n)) < 0.5 for n, segments, *_ in text_segments(m, texts)]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
