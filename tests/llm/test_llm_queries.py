@@ -7,6 +7,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from lexiforge.llm import decontamination, embeddings, html_text, langid, minhash, packing, queries, sharding, substrings, toxicity, warc
 from lexiforge.llm.components import connected_components
@@ -98,7 +99,8 @@ def test_repeats_by_definition(spark):
         first.update(own)
         kept = bytes(np.frombuffer(data, np.uint8)[~gone])
         row = got.loc[doc_id]
-        assert (row.n_bytes, row.n_removed, row.kept_sha256) == (len(data), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+        spans = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     own = substrings.remove_repeats(odd(spark)).toPandas()
     assert own[own.doc_id == 7].n_removed.tolist() == [90] and own[own.doc_id == 6].n_removed.tolist() == [0] and len(own) == len(ODD)
     stripped = substrings.strip_repeats(odd(spark))
@@ -111,6 +113,11 @@ def test_vectors_against_all_pairs(spark):
     unit = embeddings.unit_rows(np.stack(data.embedding))
     links = (unit @ unit.T >= 0.98) & (data.label.to_numpy()[:, None] == data.label.to_numpy())
     assert (got.loc[data.vec_id].n_links.to_numpy() == links.sum(1) - 1).all()
+    reach = links.copy()
+    while (wider := reach @ reach).sum() > reach.sum():
+        reach = wider
+    want = [int(data.vec_id.to_numpy()[r].min()) for r in reach]
+    assert got.loc[data.vec_id].component_id.tolist() == want and (got.loc[data.vec_id].kept.to_numpy() == (data.vec_id.to_numpy() == np.array(want))).all()
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 0, [0.0, 0.0]), (4, None, [1.0, 0.0]), (5, 0, None), (6, 0, [float("nan"), 1.0]), (7, 0, [1.0, None]), (8, 1, [1.0, 0.0]), (2, 0, [2.0, 0.0])]
     own = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).toPandas()
     assert len(own) == len(rows) and set(own[own.vec_id.isin([1, 2])].n_links) == {2} and own[own.vec_id > 2].n_links.sum() == 0
@@ -202,3 +209,118 @@ def test_pipeline(spark):
         docs = stage(spark, docs, FOLDER)
         assert name == "packing" or docs.columns == corpus_pipeline.COLUMNS
     assert {r.doc_id for r in docs.collect()} >= {1, 3, 4, 5}
+
+
+def test_empty_tables(spark):
+    docs = odd(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    for rows in (
+        langid.identify(docs), substrings.remove_repeats(docs), substrings.strip_repeats(docs), embeddings.near_duplicate_vectors(vectors), packing.pack_documents(docs), warc.round_trip(spark, pages),
+        toxicity.classify(spark, docs, labels), decontamination.contaminations(docs, items), decontamination.drop_contaminated(docs, items), html_text.extract_pages(pages),
+    ):
+        assert rows.count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    long = " ".join(word(int(k)) for k in rng.integers(2, 12, 400_000))  # about 2.8 MB: several batches of every operator
+    part = long[1_500_000:1_500_300]
+    rows = [(5, long, "en"), (6, "other words first, " + part, "en"), (7, long[:2_000_000], "en"), (3, "x" * 60, "en")]
+    docs = odd(spark, rows)
+    got = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").toPandas().set_index("doc_id")
+    assert got.loc[5].tolist() == [len(long), 0, 0] and got.loc[6].tolist() == [319, 300, 1] and got.loc[7].tolist() == [2_000_000, 2_000_000, 1]
+    classes = dict(minhash.near_duplicates(odd(spark, [*rows, (9, long.upper(), "en")])).select("doc_id", "class_id").toPandas().itertuples(index=False))
+    assert classes[9] == 5 and classes[7] == 7 and classes[6] == 6
+    pieces = packing.pack_documents(docs).toPandas()
+    assert pieces[pieces.doc_id == 5].length.sum() > 1_000_000 and (pieces.groupby("sequence_id").length.sum() <= packing.CAPACITY).all()
+    found = decontamination.contaminations(docs, spark.createDataFrame([(1, part)], "item_id long, text string")).toPandas()
+    assert set(found[found.contaminated].doc_id) == {5, 6, 7}
+    assert len(toxicity.classify(spark, docs, spark.createDataFrame([(5, 1), (6, 0), (7, 0)], "doc_id long, toxic int")).toPandas()) == 4
+    assert set(langid.identify(docs).toPandas().lang_pred) == {"en"}
+
+
+def test_clashing_columns(spark):
+    names = "none carry missing data version size small ranges __text c0 c1 key rep sketches bucket n hash group_key cell fold toxic aside language html payload".split()
+    docs = odd(spark).select("doc_id", "text", "lang", "n_chars")
+    for c in names:
+        docs = docs.withColumn(c, docs.doc_id)
+    kept = substrings.strip_repeats(docs)
+    assert kept.columns == docs.columns and kept.count() == 8 and kept.filter("`none` is not null and `none` != doc_id").count() == 0
+    assert minhash.keep_first(docs).columns == docs.columns
+    clean = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, "the same words are here once more and again", 5)], "item_id long, text string, part long"))
+    assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 3, 4, 5, 6, 7]
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0], 7, 7, 7), (2, 0, [1.0, 0.1], 7, 7, 7)], "vec_id long, label int, embedding array<double>, rep long, bucket long, sound int")
+    assert embeddings.near_duplicate_vectors(vectors).toPandas().n_links.tolist() == [1, 1]
+    labels = spark.createDataFrame([(1, 1, "x", 3), (2, 0, "y", 4)], "doc_id long, toxic int, text string, fold int")
+    assert toxicity.classify(spark, docs, labels).count() == len(ODD)
+    pages = spark.createDataFrame([(1, "u", "<p>a", 9, 9)], "page_id long, url string, html string, digest long, refers_to long")
+    assert warc.round_trip(spark, pages).first().payload_bytes == 4 and html_text.extract_pages(pages).first().text == "a"
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = odd(spark, [(k, f"text number {k % 3} of the same size", "en") for k in range(9)] + [(1, "text number 1 of the same size", "en")])
+    shards = sharding.shard_documents(docs, shards=3).toPandas()
+    assert sorted(shards.groupby("shard")["size"].sum()) == sorted(shards.groupby("text_crc32")["size"].sum()) and shards.groupby("text_crc32").shard.nunique().max() == 1
+    pieces = packing.pack_documents(docs).toPandas()
+    assert len(pieces) == 10 and pieces.sequence_id.nunique() == 1
+    pages = spark.createDataFrame([(4, "u", "x" * 1000), (4, "u", "x" * 1000), (9, "u", "x" * 1000), (2, "u", "x" * 999), (3, "u", "x" * 999)], "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.round_trip(spark, pages).select("page_id", "record_type", "refers_to").collect()), key=str)
+    assert got == [(2, "response", None), (3, "response", None), (4, "revisit", 9), (4, "revisit", 9), (9, "response", None)]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    half = " ".join(item.split()[:10]) + " other words that end the text here"
+    found = decontamination.contaminations(odd(spark, [(1, item, "en"), (1, item, "en"), (2, half, "en")]), spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")).toPandas()
+    assert found[found.doc_id == 1].contaminated.tolist() == [True, True] and found[found.doc_id == 1].n_items.tolist() == [1, 1] and not found[found.doc_id == 2].contaminated.any()
+
+
+def test_altered_leaks_are_found(spark):
+    rng = np.random.default_rng(11)
+    items = pq.read_table("/root/testdata/sf0.1/benchmark.parquet").to_pandas()
+    filler = "plain filler words stand before and behind the passage in every text of this test ".split()
+    rows, long = [], 0
+    for k, text in enumerate(items.text):
+        words = text.split()
+        if len(words) >= 30:
+            long += 1
+            words[int(rng.integers(3, len(words) - 3))] = "altered"
+            rows.append((k, " ".join([*filler * 3, *words, *filler * 3]), "en"))
+    rows.append((10_000, " ".join(filler * 50), "en"))
+    got = decontamination.contaminations(odd(spark, rows), spark.createDataFrame(items[["item_id", "text"]])).toPandas()
+    assert long > 20 and got[got.doc_id < 10_000].contaminated.mean() >= 0.95 and not got[got.doc_id == 10_000].contaminated.any()
+
+
+def test_damaged_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"page {k} " * 300) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_archives(pages, folder)
+    assert warc.read_listed(manifest, folder).filter("kind = 'record'").count() == warc.read_archives(spark, folder).filter("kind = 'record'").count() == 20
+    (path,) = (tmp_path / "w").glob("*.warc.gz")
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2 : len(data) // 2 + 30] = b"\0" * 30
+    path.write_bytes(bytes(data))
+    kinds = [r.kind for r in warc.read_archives(spark, folder).collect()]
+    assert kinds.count("record") >= 17 and "gap" in kinds
+    with pytest.raises(Exception, match="LostRecords"):
+        warc.read_listed(manifest, folder).count()
+
+
+def test_common_minimisers_are_parted(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh "), 60)) + "0123456789" + "".join(rng.choice(list("abcdefgh "), 60)) for _ in range(40)]
+    texts += [texts[3], texts[5][20:120]]
+    first, want = set(), {}
+    for k, t in enumerate(texts):
+        own = [t[p : p + 50] for p in range(len(t) - 49)]
+        gone = np.zeros(len(t), bool)
+        for p, w in enumerate(own):
+            gone[p : p + 50] |= w in first
+        want[k] = int(gone.sum())
+        first.update(own)
+    data = np.frombuffer(b"0123456789" + bytes(60), np.uint8)
+    h = substrings.mix(substrings.mix(substrings.words_at(data.data)[:1].astype(np.uint64)) + substrings.words_at(data.data)[2:3].astype(np.uint64))
+    monkeypatch.setattr(substrings, "common_minimisers", lambda rows, total: h)
+    got = substrings.remove_repeats(odd(spark, [(k, t, "en") for k, t in enumerate(texts)])).toPandas()
+    assert dict(zip(got.doc_id, got.n_removed, strict=True)) == want
