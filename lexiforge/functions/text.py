@@ -256,15 +256,3 @@ def percent_gain(old: Column, new: Column) -> Column:
 def shown_metric(metric: Column, value: Column) -> Column:
     """A metric for display: milliseconds of costs, percent of the others, N/A for null."""
     return F.when(value.isNull(), "N/A").when(metric.isin(*COSTS, *[METRIC_NAMES[c] for c in COSTS]), F.concat(F.format_number(value, 1), F.lit(" ms"))).otherwise(F.format_string("%.1f%%", value))
-
-
-def rank_percentile(values: Column, q: float) -> Column:
-    """Element ``min(n - 1, int(q * n))`` of the sorted values; 0 if there are none."""
-    n = F.size(values)
-    return F.when(n <= 0, F.lit(0)).otherwise(F.element_at(F.array_sort(values), F.least(n, (F.lit(q) * n).cast("int") + 1)))
-
-
-def latency_p95(values: Column) -> Column:
-    """Element ``int(0.95 * (n - 1))`` of the sorted values; 0 if there are none."""
-    n = F.size(values)
-    return F.when(n <= 0, F.lit(0.0)).otherwise(F.element_at(F.array_sort(values), (F.lit(0.95) * (n - 1)).cast("int") + 1))

@@ -14,7 +14,9 @@ from ..sources.scratch import stored
 #: Adds ``entailment, neutral, contradiction`` to rows, given the names of their premise and hypothesis.
 Scorer = Callable[[DataFrame, str, str], DataFrame]
 
-# The refusal, the limits of an answer, and thresholds.
+# The answer without a quotation, sizes and beginnings of quotations, the refusal, the limits of an answer, and thresholds.
+UNCITED = "Based on the retrieved passages, an answer is synthesized from the provided sources. [1] [2] [3] [4] [5]."
+QUOTED_SIZE, NOT_QUOTED = (60, 220), ("1 ", "2 ", "3 ", "Figure", "Table", "Abstract")
 REFUSAL = "The provided sources do not contain sufficient information."
 LEAST_CLAIMS, MOST_CLAIMS = 1, 5
 #: Lexical coverage that grounds a claim, and the first claim, which answers the question.
@@ -62,6 +64,19 @@ def render(claims: DataFrame, asked: DataFrame | None = None, most: int = MOST_C
     return out.withColumn("answer", F.when(F.col("n_claims").between(LEAST_CLAIMS, most), F.col("answer")).otherwise(REFUSAL))
 
 
+def quotations(sources: DataFrame, most: int = 5) -> DataFrame:
+    """``query_id, answer``: the first sentence of each source that can be quoted, with its mark; a plain text if there is none."""
+    s = F.col("sentence")
+    fit = F.length(s).between(*QUOTED_SIZE) & ~s.contains("arXiv:") & ~s.contains("http") & (T.letters(s) / F.length(s) >= 0.55)
+    for head in NOT_QUOTED:
+        fit = fit & ~s.startswith(head)
+    pieces = sources.filter(F.col("source") <= most).select("query_id", "source", F.posexplode(T.sentences(F.col("passage"))).alias("pos", "sentence")).filter(fit)
+    first = pieces.groupBy("query_id", "source").agg(F.min(F.struct("pos", "sentence"))["sentence"].alias("sentence"))
+    marked = F.concat("sentence", F.lit(" ["), F.col("source").cast("string"), F.lit("]."))
+    told = first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", marked.alias("m")))), lambda x: x["m"]), " ").alias("answer"))
+    return sources.select("query_id").distinct().join(told, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(UNCITED)))
+
+
 def covered(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """``query_id, claim, text, citations, coverage``: the best coverage of a claim's words by a source that it cites."""
     cited = claims.select("query_id", "claim", "text", F.explode("citations").alias("source")).join(sources.select("query_id", "source", "passage"), ["query_id", "source"])

@@ -78,6 +78,12 @@ def summarized(per_query: DataFrame) -> DataFrame:
     return means.join(ms, "config", "left").select("config", *QUALITY, "avg_latency_ms", "p95_latency_ms", "queries")
 
 
+def explored(per_query: DataFrame, asked: DataFrame, theme: str | None = None) -> DataFrame:
+    """Rows of every query with its question and theme, of one theme or of all."""
+    rows = per_query.join(asked, "query_id")
+    return rows if theme is None else rows.filter(F.col("theme") == theme)
+
+
 def displayed(summary: DataFrame) -> DataFrame:
     """A summary as a reader sees it: qualities in percent to one decimal, latencies to two."""
     return summary.select("config", *[F.round(F.col(m) * 100, 1).alias(m) for m in QUALITY], *[F.round(m, 2).alias(m) for m in COSTS])

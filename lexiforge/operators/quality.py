@@ -34,6 +34,12 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def contained(part: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
+    """One row: whether every key of ``part`` stands in ``whole``, and how many do not."""
+    lost = part.select(*keys).distinct().join(whole.select(*keys).distinct(), list(keys), "left_anti")
+    return lost.agg((F.count("*") == 0).alias("contained"), F.count("*").alias("missing"))
+
+
 def empty_texts(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.filter(F.coalesce(T.normal_form(F.col(text_col)), F.lit("")) == "")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CAPTIONS, CHUNK_NAMESPACE, COSTS, STOPWORDS, THEME_KEYWORDS
-from ..operators.answers import REFUSAL
+from ..operators.answers import REFUSAL, UNCITED
 from ..operators.evaluation import QUALITY
 
 _STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -426,3 +426,14 @@ ORACLES = {
 }
 
 ORACLES["near_pair_examples"] = f"select * from ({ORACLES['near_duplicate_pairs']}) order by jaccard desc, id_a, id_b limit 10"
+
+ORACLES["atom_entries"] = """select page_id, '2401.' || page_id || 'v' || n arxiv_id, 'A title of & ' || page_id title, 'Ann,Bo' authors, 'Line one line two' summary,
+        case when n = 1 then 'http://x/pdf/' || page_id else 'https://arxiv.org/pdf/2401.' || page_id || 'v2' end pdf_url from pages, (select unnest([1, 2]) n)"""
+ORACLES["first_documents"] = "select doc_id, n_chars from documents order by doc_id limit 25"
+ORACLES["contained_ids"] = """select count(*) = 0 "contained", count(*) missing, 'labels' "of" from (select distinct doc_id from labels where doc_id not in (select doc_id from documents))
+        union all select count(*) = 0, count(*), 'documents' from (select distinct doc_id from documents where doc_id not in (select doc_id from labels))"""
+ORACLES["quotations"] = f"""with {RERANK}, q as (select query_id, final_rank source, unnest({sentences("passage")}) s, generate_subscripts({sentences("passage")}, 1) pos from rer),
+        f as (select query_id, source, s from q where length(s) between 60 and 220 and not contains(s, 'arXiv:') and not contains(s, 'http') and not regexp_matches(s, '^(1 |2 |3 |Figure|Table|Abstract)') and {letters("s")} / length(s) >= 0.55
+          qualify row_number() over (partition by query_id, source order by pos) = 1), t as (select query_id, string_agg(s || ' [' || source || '].', ' ' order by source) answer from f group by 1)
+        select a.query_id, coalesce(answer, '{UNCITED}') answer from (select distinct query_id from rer) a left join t on t.query_id = a.query_id"""
+ORACLES["explored_theme"] = f"with {SUMMARY} select *, 'even' theme from evaluated where query_id % 2 = 0"

@@ -19,6 +19,7 @@ from ..operators import chunking, corpus, evaluation, models, quality, reports,
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources.scratch import scratch_path, stored
+from ..sources.tables import atom_entries as read_atom
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +146,28 @@ def dedupe_best_version(spark, d):
     return corpus.newest_versions(papers(spark, d)).select("pos", "id", "kept")
 
 
+@query
+def atom_entries(spark, d):
+    """Feeds of two entries each; the second names no file."""
+    p = F.col("page_id").cast("string")
+    entry = lambda n, link: F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), p, F.lit(f"v{n}</id><title> A title\n  of &amp; "), p, F.lit("</title><summary>\n Line one\nline two </summary><author><name>Ann</name></author><author><name>Bo</name></author>"), link, F.lit("</entry>"))
+    links = F.concat(F.lit('<link href="http://x/abs" rel="alternate"/><link title="pdf" href="http://x/pdf/'), p, F.lit('"/>'))
+    xml = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>'), entry(1, links), entry(2, F.lit('<link href="http://x/abs" rel="alternate"/>')), F.lit("</feed>"))
+    return read_atom(table(spark, d, "pages").select("page_id", xml.alias("xml"))).withColumn("authors", F.array_join("authors", ","))
+
+
+@query
+def first_documents(spark, d):
+    return corpus.first_rows(docs_of(spark, d).select("doc_id", "n_chars"), 25, "doc_id")
+
+
+@query
+def contained_ids(spark, d):
+    """Whether all judged documents are known, and all documents judged."""
+    a, b = docs_of(spark, d), table(spark, d, "labels")
+    return quality.contained(b, a, "doc_id").withColumn("of", F.lit("labels")).union(quality.contained(a, b, "doc_id").withColumn("of", F.lit("documents")))
+
+
 def manifest_rows(spark, d):
     """Entries of a made-up manifest: some without a file, some in the wrong folder or under the wrong name."""
     themes = F.array(*map(F.lit, ["rag", "agents", "fine_tuning", "other"]))
@@ -522,6 +545,11 @@ def rendered_answers(spark, d):
     return answer_parts(spark, d)[2]
 
 
+@query
+def quotations(spark, d):
+    return A.quotations(A.sources_of(reranked(spark, d)))
+
+
 @query
 def grounding_filter(spark, d):
     sources, claims, _ = answer_parts(spark, d)
@@ -732,6 +760,13 @@ def evaluation_rows(spark, d):
     return evaluated(spark, d)
 
 
+@query
+def explored_theme(spark, d):
+    """What the configurations give for questions of one theme: those of even items."""
+    themes = asked(spark, d).select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("theme"))
+    return evaluation.explored(evaluated(spark, d), themes, "even")
+
+
 def summary(spark, d):
     return stored(evaluation.summarized(evaluated(spark, d)), "summary")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Columns of the files that are read and written.
 MANIFEST = "theme string, arxiv_id string, title string, authors array<string>, summary string, pdf_url string, local_path string"
 DOCUMENTS = "documents array<struct<id:string,theme:string,title:string,file_path:string,page_count:int,chars:int,pages:array<struct<page:int,text:string>>>>"
@@ -20,6 +22,11 @@ REFERENCE = "documents array<struct<id:string,page_count:int>>"
 QUESTION_ENVELOPE = "questions array<struct<" + ",".join(":".join(c.split(" ")) for c in QUESTIONS.split(", ")) + ">>"
 
 
+#: What is read of a search service's Atom feed, and where a paper's file stands if the feed does not say.
+ATOM = "entry array<struct<id:string,title:string,summary:string,author:array<struct<name:string>>,link:array<struct<_title:string,_href:string>>>>"
+PDF_URL = "https://arxiv.org/pdf/"
+
+
 class IntegrityError(ValueError):
     """A table that must not be used: empty, with missing values or repeated keys."""
 
@@ -62,6 +69,21 @@ def page_counts(spark: SparkSession, path: str) -> DataFrame | None:
     return None if rows.isEmpty() else rows
 
 
+def atom_entries(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """``arxiv_id, title, authors, summary, pdf_url`` of the entries of Atom feeds, with the other columns of each feed.
+
+    The file is the first link titled ``pdf``, or else derived from the id.
+    """
+    parsed = F.from_xml(F.col(xml_col), ATOM, {"ignoreNamespace": "true"})
+    rows = feeds.select(*[c for c in feeds.columns if c != xml_col], F.explode(parsed["entry"]).alias("e"))
+    own = F.element_at(F.split(T.strip(F.col("e.id")), "/abs/"), -1)
+    pdf = F.get(F.filter("e.link", lambda x: x["_title"] == "pdf"), 0)["_href"]
+    return rows.select(
+        *[c for c in rows.columns if c != "e"], own.alias("arxiv_id"), T.collapse_space(F.col("e.title")).alias("title"), F.transform("e.author", lambda a: a["name"]).alias("authors"),
+        F.translate(T.strip(F.col("e.summary")), "\n", " ").alias("summary"), F.coalesce(pdf, F.concat(F.lit(PDF_URL), own)).alias("pdf_url"),
+    )
+
+
 def present(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
