@@ -25,6 +25,8 @@ from .common import cut, join_counted, scratch_path
 REVISIT_BYTES = 1000
 #: A writer begins a new archive when one has grown to this many bytes.
 ARCHIVE_BYTES = 16 << 20
+#: Tasks that read the archives of a manifest, at most.
+MOST_TASKS = 50_000
 #: Date of the records: part of the data, so that a task that runs again writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -265,7 +267,7 @@ class LostRecords(ValueError):
 
 
 def read_listed(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
-    """As ``read_archives``, of the archives that a manifest lists and no others, an archive a task.
+    """As ``read_archives``, of the archives that a manifest lists and no others.
 
     Raises, with the gaps' reasons, if an archive does not give the records that the manifest states.
     """
@@ -283,7 +285,7 @@ def read_listed(manifest: DataFrame, folder: str, payload: bool = True) -> DataF
                     raise LostRecords(f"{name} gives {found} of {stated} records; gaps: {[(r[1], r[2], r[-1]) for r in rows if r[3] == 'gap'][:20]}")
                 yield from in_batches(rows, schema)
 
-    return manifest.select("archive", "records").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)
+    return manifest.select("archive", "records").repartition(max(1, min(MOST_TASKS, manifest.count()))).mapInArrow(read, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
