@@ -122,14 +122,14 @@ def islands(rows: DataFrame, key: str = "document_id", start: str = "page_start"
     """Per document: pages covered, last page, holes and coverage in percent; intervals that touch are one.
 
     ``clamp``: an interval ends where it begins at least, as the statistics have it; the gate takes its end as it is.
+    Every interval counts what it adds to the pages before it, so one sort does and equal intervals may come in any order.
     """
     first, last = F.col(start), F.greatest(F.col(start), F.col(end)) if clamp else F.col(end)
-    order = Window.partitionBy(key).orderBy(start, last)
-    before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("new", F.coalesce(first > before + 1, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = numbered.groupBy(key, "island").agg(F.min(first).alias("a"), F.max(last).alias("b"))
-    out = parts.groupBy(key).agg(F.sum(F.col("b") - F.col("a") + 1).cast("long").alias("covered"), F.max("b").cast("long").alias("last_page"), F.min("a").cast("long").alias("first_page"))
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), last)
+    marked = rows.withColumn("before", F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = F.coalesce(first > F.col("before") + 1, F.lit(True))
+    added = F.when(apart, last - first + 1).otherwise(F.greatest(F.lit(0), last - F.col("before")))
+    out = marked.groupBy(key).agg(F.sum(added).cast("long").alias("covered"), F.max(last).cast("long").alias("last_page"), F.min(first).cast("long").alias("first_page"))
     holes = F.greatest(F.lit(0), F.col("last_page") - F.col("first_page") + 1 - F.col("covered"))
     percent = F.round(100 * F.col("covered") / F.greatest(F.lit(1), F.col("last_page")), 1)
     return out.select(key, "covered", "last_page", holes.alias("holes"), percent.alias("coverage_pct"))

@@ -317,7 +317,7 @@ def length_examples(spark, d):
 
 def intervals(spark, d):
     q = F.col("l_partkey") % 40 + 1
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 5000).alias("document_id"), q.alias("page_start"), (q + F.col("l_quantity").cast("long") % 5).alias("page_end"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 5000).alias("document_id"), q.alias("page_start"), (q + F.rint("l_quantity").cast("long") % 5).alias("page_end"))
 
 
 @query

@@ -328,3 +328,36 @@ def test_chunk_stream(spark, tmp_path):
         chunk_stream(arriving_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.document_id for r in got.select("document_id").distinct().collect()} == {"1", "2", "3"} and got.count() == got.select("chunk_id").distinct().count()
+
+
+def test_islands_of_equal_intervals_when_sorts_spill(spark):
+    """Runs of a few rows are merged without regard to the order of equal rows; what is covered does not depend on it."""
+    from lexiforge.operators import quality
+
+    rows = [(d, a, a + 2) for d in range(40) for a in (1 + d % 3, 10, 13, 30) for _ in range(50)]
+    conf, limit = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(limit, "33")
+    try:
+        got = {tuple(r) for clamp in (True, False) for r in quality.islands(spark.createDataFrame(rows, "document_id long, page_start long, page_end long"), clamp=clamp).collect()}
+    finally:
+        conf.remove(limit)
+    assert got == {(d, 12, 32, 32 - d % 3 - 12, 37.5) for d in range(40)}
+
+
+def test_islands_that_end_before_they_begin(spark):
+    from lexiforge.operators import quality
+
+    rows = spark.createDataFrame([(1, 1, 4), (1, 2, 3), (1, 9, 6), (1, 9, 10), (2, 5, None), (3, None, None), (4, None, 9), (4, 1, 3)], "document_id long, page_start long, page_end long")
+    got = {clamp: {r.document_id: (r.covered, r.last_page, r.holes) for r in quality.islands(rows, clamp=clamp).collect()} for clamp in (True, False)}
+    assert got[True] == {1: (6, 10, 4), 2: (1, 5, 0), 3: (None, None, 0), 4: (3, 9, 6)}
+    assert got[False] == {1: (4, 10, 6), 2: (None, None, 0), 3: (None, None, 0), 4: (3, 9, 6)}
+
+
+def test_page_islands_of_fractions_and_missing_values(spark, tmp_path):
+    con = duckdb.connect()
+    # every document has an interval of each start once, as the SQL leaves the order of equal ones open
+    con.execute("""create table lineitem as select distinct on (l_orderkey, l_partkey) * from (select case when i % 9 > 0 then i % 400 end l_orderkey,
+        case when i % 7 > 0 then (i * 13 + i // 400) % 40 - 20 end l_partkey, case when i % 11 > 0 then (i % 200 - 40) / 4 end::double l_quantity from range(1500) t(i))""")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    got, want = map(tuple, queries.page_islands(spark, str(tmp_path)).collect()), con.sql(oracles.ORACLES["page_islands"]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
